@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import format_copies, pair_groups, visual_form
+from . import format_copies, near_groups, pair_groups, split_overlap, visual_form
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("group_id <> member").select("group_id", F.col("member").alias("example_id"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = split_overlap.split_overlap(table(spark, sf_dir, "suite"))
+    pair = F.least("train_id", "eval_id").alias("example_id_a"), F.greatest("train_id", "eval_id").alias("example_id_b")
+    return found.select(*pair).distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = visual_form.lookalike_pairs(table(spark, sf_dir, "suite"))
     return found.select(F.col("a").alias("example_id_a"), F.col("b").alias("example_id_b"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_groups.near_groups(table(spark, sf_dir, "suite"))
+    return found.filter("group_id <> member").select("group_id", F.col("member").alias("example_id"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
