@@ -1,9 +1,9 @@
 """Problem 7: records grouped whose similarity reaches a threshold.
 
 The product of the document x run incidence matrix with its transpose, sparse and in blocks of columns: Spark
-partitions the columns (runs) and joins each block with itself, which gives the overlaps of document pairs. Size
-bounds discard pairs before they leave a block; only prefix columns are multiplied (``shingle_classes`` says why no
-pair is lost), and the exact overlap of the remaining pairs is then accumulated over all their columns.
+partitions the columns (runs) and joins each block with itself; the overlap counts of document pairs are accumulated
+over the blocks, and bounds derived from the sizes discard pairs. Only prefix columns are multiplied at first
+(``shingle_classes`` says why no pair is lost); the pairs left then get their overlap over all columns.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ def near_pairs(classes: DataFrame, scratch: Scratch, k: int, least: float) -> Da
     """Verified pairs of classes: each pair once, with the names of both."""
     index = sc.prefix_index(classes, k, least, ["class"]).repartition("gram")
     a, b = index.alias("a"), index.alias("b")
-    pairs = a.join(b, F.expr(f"a.gram = b.gram and a.class < b.class and {sc.bounds(least)}"))
-    pairs = scratch.save(pairs.selectExpr("a.class as a", "b.class as b").distinct(), "candidates")
+    met = a.join(b, F.expr(f"a.gram = b.gram and a.class < b.class and {sc.sizes_allow(least)}")).selectExpr(*sc.MET)
+    pairs = scratch.save(sc.counted_pairs(met, least), "candidates")
     return sc.verify(pairs, classes, k, least, ["name"])
 
 

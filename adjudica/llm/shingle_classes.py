@@ -164,13 +164,28 @@ def prefix_index(classes: DataFrame, k: int, least: float, keep: list[str]) -> D
     return classes.select("words", *keep).mapInArrow(_prefixes(k, least, rank), schema)
 
 
-def bounds(least: float) -> str:
-    """SQL over a.n, a.place, b.n, b.place: the sizes, and what is left behind the first shared run, allow ``least``."""
-    need = f"ceil({least}D / (1 + {least}D) * (a.n + b.n) - 1e-9D)"
-    return (
-        f"least(a.n, b.n) >= {least}D * greatest(a.n, b.n) - 1e-9D"
-        f" and 1 + least(a.n - a.place - 1, b.n - b.place - 1) >= {need}"
+def counted_pairs(met: DataFrame, least: float) -> DataFrame:
+    """``(a, b)`` of ``met(a, b, n_a, n_b, rest)``, one row per prefix run that both have, whose count and sizes still
+    allow ``least``. ``rest``: the lesser number of runs behind this one.
+
+    Of two prefixes one ends first in the global order; what the pair shares beyond lies in that record's remainder.
+    So the overlap is at most the shared prefix runs plus the longer remainder ``ceil(t n) - 1``, and at most one more
+    than what is left behind the first shared run.
+    """
+    need = f"ceil({least}D / (1 + {least}D) * (n_a + n_b) - 1e-9D)"
+    remainder = f"ceil({least}D * greatest(n_a, n_b) - 1e-9D) - 1"
+    counted = met.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("shared"), F.max("rest").alias("rest"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")
     )
+    return counted.filter(f"shared + {remainder} >= {need} and 1 + rest >= {need}").select("a", "b")
+
+
+#: Columns of a prefix run that two classes share, and the bound their sizes must keep.
+MET = ["a.class as a", "b.class as b", "a.n as n_a", "b.n as n_b", "least(a.n - a.place, b.n - b.place) - 1 as rest"]
+
+
+def sizes_allow(least: float) -> str:
+    return f"least(a.n, b.n) >= {least}D * greatest(a.n, b.n) - 1e-9D"
 
 
 def _overlap(k: int) -> Callable:

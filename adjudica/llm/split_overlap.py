@@ -21,8 +21,9 @@ def overlapping_classes(classes: DataFrame, scratch: Scratch, k: int, least: flo
     index = sc.prefix_index(classes.where("train or other"), k, least, ["class", "train", "other"])
     index = index.repartition("gram").sortWithinPartitions("gram")
     a, b = index.filter("train").alias("a"), index.filter("other").alias("b")
-    pairs = a.join(b.hint("merge"), F.expr(f"a.gram = b.gram and a.class <> b.class and {sc.bounds(least)}"))
-    pairs = scratch.save(pairs.selectExpr("a.class as a", "b.class as b").distinct(), "candidates")
+    on = F.expr(f"a.gram = b.gram and a.class <> b.class and {sc.sizes_allow(least)}")
+    met = a.join(b.hint("merge"), on).selectExpr(*sc.MET)
+    pairs = scratch.save(sc.counted_pairs(met, least), "candidates")
     return sc.verify(pairs, classes, k, least, ["runs"])
 
 
