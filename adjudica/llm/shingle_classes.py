@@ -86,7 +86,10 @@ def shingle_classes(
         F.max(F.col("side") == "train").alias("train"), F.max(F.col("side") != "train").alias("other"),
     )
     words = rows.where("words is not null").groupBy("class").agg(F.first("runs").alias("runs"), F.first("words").alias("words"))
-    return members, scratch.save(words.join(facts, "class"), "classes")
+    classes = scratch.save(words.join(facts, "class"), "classes")
+    del words, facts
+    scratch.settle()
+    return members, classes
 
 
 def _sketch(k: int) -> Callable:
