@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import format_copies, near_groups, pair_groups, split_overlap, visual_form
+from . import format_copies, leaks, near_groups, packing, pair_groups, shared_spans, split_overlap, visual_form
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("group_id <> member").select("group_id", F.col("member").alias("example_id"))
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p9_near_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage at most two word edits from a window of an item."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), edits=2)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "edits")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shared_spans.shared_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "shared_chars")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
