@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import format_copies, leaks, near_groups, packing, pair_groups, shared_spans, split_overlap, visual_form
+from . import format_copies, group_splits, leaks, near_groups, packing, pair_groups, percentiles, shared_spans, split_overlap, visual_form
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("group_id <> member").select("group_id", F.col("member").alias("example_id"))
 
 
+LATENCIES = ["inference_ms", "request_total_ms"]
+
+
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = percentiles.bisect_percentiles(table(spark, sf_dir, "direct_development"), ["workload_id"], LATENCIES)
+    return found.withColumn("value", F.round("value", 6))
+
+
+def p3_daily_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the whole from the summaries of its days, with their bounds."""
+    days = percentiles.day_summaries(table(spark, sf_dir, "direct_development"), "scored_at", ["workload_id"], LATENCIES)
+    found = percentiles.combined_percentiles(days, ["workload_id"])
+    return found.select("workload_id", "metric", "p", "n", F.round("at_least", 6).alias("at_least"), F.round("below", 6).alias("below"))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_splits.group_splits(table(spark, sf_dir, "suite")).withColumnRenamed("id", "example_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = split_overlap.split_overlap(table(spark, sf_dir, "suite"))
     pair = F.least("train_id", "eval_id").alias("example_id_a"), F.greatest("train_id", "eval_id").alias("example_id_b")
@@ -68,5 +87,39 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_MEASURED = """
+    select workload_id, metric, value from (
+        select workload_id, 'inference_ms' as metric, inference_ms as value from direct_development
+        union all select workload_id, 'request_total_ms', request_total_ms from direct_development)
+    where value >= 0 and value < 'infinity'::double and not isnan(value)"""
+_P = ", ".join(f"({p}::double)" for p in percentiles.PERCENTILES)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_percentiles": f"""
+            with m as ({_MEASURED}),
+            r as (select *, row_number() over (partition by workload_id, metric order by value) as i,
+                         count(*) over (partition by workload_id, metric) as n from m)
+            select workload_id, metric, p, n, round(value, 6) as value
+            from r join (values {_P}) as t(p) on i = greatest(1, ceil(p * n))""",
+        "p3_daily_combined": f"""
+            with m as ({_MEASURED}),
+            c as (select workload_id, metric, case when value > 0 then floor(log2(value) * 64) end as cell, count(*) as k
+                  from m group by all),
+            u as (select *, sum(k) over (partition by workload_id, metric order by cell nulls first) as upto,
+                         sum(k) over (partition by workload_id, metric) as n from c)
+            select workload_id, metric, p, cast(n as bigint) as n, round(coalesce(pow(2.0::double, cell / 64), 0), 6) as at_least,
+                   round(coalesce(pow(2.0::double, (cell + 1) / 64), 0), 6) as below
+            from u join (values {_P}) as t(p) on greatest(1, ceil(p * n)) between upto - k + 1 and upto""",
+        "p2_found": """
+            with recursive links as (
+                select example_id_a as a, example_id_b as b from near_matches where example_id_a <> example_id_b
+                union select x.example_id, m.m from suite x join (
+                    select near_duplicate_cluster_id as c, min(example_id) as m from suite
+                    where near_duplicate_cluster_id not in ('', 'unclustered') group by 1) m on m.c = x.near_duplicate_cluster_id),
+            edges as (select a, b from links union select b, a from links),
+            reach(node, root) as (
+                select a, a from edges union select e.b, r.root from reach r join edges e on e.a = r.node where r.root < e.b)
+            select min(root) as group_id, node as example_id from reach group by node having min(root) <> node""",
+    }
