@@ -3,12 +3,13 @@
 Exactness. Order the runs of every record by one global order; two records of similarity t or more then share a run
 among the first ``n - ceil(t n) + 1`` of each (the prefix). So pairs that share no prefix run need not be looked at,
 whatever the order. The order used here is by how many classes have the run, rarest first, counted over all classes
-in a table of fixed size (``SLOTS`` counters, added up over partitions): common phrases then lie outside the
+in a table of bounded size (``SLOTS`` counters, added up over partitions): common phrases then lie outside the
 prefixes, and a phrase that a third of all records share makes no pairs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ from ..storage import Scratch
 from . import arrow, states
 from . import codepoints as cp
 
-#: Counters of the run-count table: 4 bytes each, whatever the size of the data.
-SLOTS = 1 << 18
+#: Least and most counters of the run-count table (4 bytes each): one for every eight runs between these bounds.
+SLOTS = (1 << 18, 1 << 22)
+#: Ids of classes to verify are broadcast up to this number (8 bytes each).
+MOST_MET = 500_000
 _GRAM_BITS, _RANK_BITS = 41, 6
 _ROWS = 1 << 16
 
@@ -87,29 +90,40 @@ def shingle_classes(
     )
     words = rows.where("words is not null").groupBy("class").agg(F.first("runs").alias("runs"), F.first("words").alias("words"))
     classes = scratch.save(words.join(facts, "class"), "classes")
-    del words, facts
-    scratch.settle()
+    members = scratch.save(members, "members")
+    scratch.drop("records")
     return members, classes
 
 
-def _sketch(k: int) -> Callable:
+def _table(count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([zlib.compress(count.astype("<u4").tobytes(), 1)], pa.binary())], ["counts"])
+
+
+def _count(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u4")
+
+
+def _sketch(k: int, slots: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(SLOTS, np.int64)
+        count = np.zeros(slots, np.int64)
         for b in batches:
             lists = b.column(0)
             h, _ = unique_runs(lists.flatten().to_numpy().view(np.uint64), _list_offsets(lists), k)
-            count += np.bincount((h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array([count.tobytes()], pa.binary())], ["counts"])
+            count += np.bincount((h >> np.uint64(40)).astype(np.int64) & (slots - 1), minlength=slots)
+        yield _table(np.minimum(count, 2**31))
 
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
-    for b in batches:
-        for x in b.column(0):
-            total += np.frombuffer(x.as_buffer(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+def _add(slots: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += _count(x)
+        yield _table(np.minimum(total, 2**31))
+
+    return run
 
 
 def _list_offsets(lists: pa.ListArray) -> np.ndarray:
@@ -117,17 +131,19 @@ def _list_offsets(lists: pa.ListArray) -> np.ndarray:
     return at - at[0]
 
 
-def run_counts(classes: DataFrame, k: int, fan_in: int = 16) -> np.ndarray:
+def run_counts(classes: DataFrame, k: int, fan_in: int = 8) -> np.ndarray:
     """How often the runs of each slot occur, over all classes: partitions' tables are added up in a tree, and the
-    driver gets at most ``fan_in`` tables of 2 MB."""
-    tables = classes.select("words").mapInArrow(_sketch(k), "counts binary")
+    driver gets at most ``fan_in`` tables, one after the other."""
+    runs = classes.agg(F.sum("runs")).first()[0] or 0
+    slots = min(max(SLOTS[0], 1 << (runs // 8).bit_length()), SLOTS[1])
+    tables = classes.select("words").mapInArrow(_sketch(k, slots), "counts binary")
     parts = tables.rdd.getNumPartitions()
     while parts > fan_in:
         parts = -(-parts // fan_in)
-        tables = tables.coalesce(parts).mapInArrow(_add, "counts binary") if parts < fan_in else tables.repartition(parts).mapInArrow(_add, "counts binary")
-    total = np.zeros(SLOTS, np.int64)
+        tables = tables.repartition(parts).mapInArrow(_add(slots), "counts binary")
+    total = np.zeros(slots, np.int64)
     for row in tables.toLocalIterator():
-        total += np.frombuffer(row.counts, np.int64)
+        total += _count(row.counts)
     return total
 
 
@@ -138,9 +154,9 @@ def _prefixes(k: int, least: float, rank: np.ndarray) -> Callable:
                 part = b.slice(lo, _ROWS // 2)
                 lists = part.column(part.schema.get_field_index("words"))
                 h, row, _ = cp.runs_of(lists.flatten().to_numpy().view(np.uint64), _list_offsets(lists), k)
-                slot = (h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+                slot = (h >> np.uint64(40)).astype(np.int64) & (len(rank) - 1)
                 # row | rank | run in one integer: one sort gives every row's runs, rarest first
-                x = row.astype(np.uint64) << np.uint64(_GRAM_BITS + _RANK_BITS) | rank[slot] << np.uint64(_GRAM_BITS)
+                x = row.astype(np.uint64) << np.uint64(_GRAM_BITS + _RANK_BITS) | rank[slot].astype(np.uint64) << np.uint64(_GRAM_BITS)
                 x = np.unique(x | (h & np.uint64((1 << _GRAM_BITS) - 1)))
                 row = (x >> np.uint64(_GRAM_BITS + _RANK_BITS)).astype(np.int64)
                 at = np.searchsorted(row, np.arange(len(part) + 1))
@@ -161,7 +177,7 @@ def _prefixes(k: int, least: float, rank: np.ndarray) -> Callable:
 def prefix_index(classes: DataFrame, k: int, least: float, keep: list[str]) -> DataFrame:
     """``(gram, n, place, *keep)``: the prefix runs of every class, its size and the run's place in the order."""
     count = run_counts(classes, k)
-    rank = np.minimum(np.log2(1 + count / max(1.0, count.mean())) * 6, 63).astype(np.uint64)
+    rank = np.minimum(np.log2(1 + count / max(1.0, count.mean())) * 6, 63).astype(np.uint8)
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     schema = "gram long, n int, place int, " + ", ".join(f"`{c}` {kinds[c]}" for c in keep)
     return classes.select("words", *keep).mapInArrow(_prefixes(k, least, rank), schema)
@@ -228,6 +244,9 @@ def _overlap(k: int) -> Callable:
 def verify(pairs: DataFrame, classes: DataFrame, k: int, least: float, keep: list[str]) -> DataFrame:
     """Class pairs ``(a, b)`` of similarity ``least`` or more, exactly: with similarity, words of either side under
     shared runs, and ``keep`` of both sides as ``<c>_a, <c>_b``."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    few = met.limit(MOST_MET + 1).count() <= MOST_MET
+    classes = classes.join(F.broadcast(met) if few else met, "class", "left_semi")  # else by shuffle
     for s in ("a", "b"):
         side = classes.select(F.col("class").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ["words", *keep]))
         pairs = pairs.join(side, s)
