@@ -31,6 +31,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATENCIES = ["inference_ms", "request_total_ms"]
 
 
+def p3_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of every workload on every day of ``scored_at``."""
+    rows = table(spark, sf_dir, "direct_development").withColumn("day", F.to_date("scored_at"))
+    found = percentiles.bisect_percentiles(rows, ["workload_id", "day"], LATENCIES)
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd")).withColumn("value", F.round("value", 6))
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = percentiles.bisect_percentiles(table(spark, sf_dir, "direct_development"), ["workload_id"], LATENCIES)
     return found.withColumn("value", F.round("value", 6))
@@ -97,6 +104,13 @@ _P = ", ".join(f"({p}::double)" for p in percentiles.PERCENTILES)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_daily_percentiles": f"""
+            with m as ({_MEASURED.replace("workload_id, ", "workload_id, scored_at, ")}),
+            d as (select workload_id, metric, value, strftime(cast(scored_at as date), '%Y-%m-%d') as day from m),
+            r as (select *, row_number() over (partition by workload_id, day, metric order by value) as i,
+                         count(*) over (partition by workload_id, day, metric) as n from d)
+            select workload_id, day, metric, p, n, round(value, 6) as value
+            from r join (values {_P}) as t(p) on i = greatest(1, ceil(p * n))""",
         "p3_percentiles": f"""
             with m as ({_MEASURED}),
             r as (select *, row_number() over (partition by workload_id, metric order by value) as i,
