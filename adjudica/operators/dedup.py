@@ -16,10 +16,10 @@ def exact_duplicates(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
 
 
 def shingles(words: Column, k: int = 5) -> Column:
-    """Sorted distinct hashes of the ``k``-word windows; fewer than ``k`` words have none."""
+    """Sorted distinct 64-bit hashes of the ``k``-word windows; fewer than ``k`` words have none."""
     n = F.size(words)
     at = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.array_distinct(F.transform(at, lambda i: F.substring(F.sha2(F.array_join(F.slice(words, i, k), " "), 256), 1, 32))))
+    return F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, k)))))
 
 
 def similar_pairs(rows: DataFrame, id_col: str, words: Column, least: float = 0.9, k: int = 5) -> DataFrame:

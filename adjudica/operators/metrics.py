@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as ds
+from .ranks import ranked
 
 GROUP = ["workload_id", "primitive"]
 
@@ -67,9 +68,8 @@ def reliability_bins(s: DataFrame, bins: int = 10, equal_count: bool = True, gro
     """Bins of confidence (E11-E13): chunks of ``ceil(n / bins)`` rows in order of confidence, ties by key; or equal
     widths, empty bins left out."""
     if equal_count:
-        order = Window.partitionBy(*groups).orderBy("confidence", "example_id", "question_id")
-        size = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*groups)) / F.lit(float(bins)))
-        rows = s.select(*groups, "confidence", "hit", F.floor((F.row_number().over(order) - 1) / size).alias("bin"))
+        rows = ranked(s.select(*groups, "confidence", "hit", "example_id", "question_id"), groups, ["confidence", "example_id", "question_id"])
+        rows = rows.select(*groups, "confidence", "hit", F.floor((F.col("rank") - 1) / F.ceil(F.col("size") / F.lit(float(bins)))).alias("bin"))
     else:
         rows = s.select(*groups, "confidence", "hit", F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1)).alias("bin"))
     out = rows.groupBy(*groups, "bin").agg(
@@ -114,11 +114,10 @@ def weighted_kappa(d: DataFrame, groups: list[str] = GROUP) -> DataFrame:
 
 
 def latency(d: DataFrame, value: str, groups: list[str] = GROUP) -> DataFrame:
-    """Median (mean of the middle two) and p95 by floor rank ``sorted[int(.95 (n-1))]`` (E21). One sort of numbers
-    within groups, which Spark spills; nothing is collected into arrays."""
+    """Median (mean of the middle two) and p95 by floor rank ``sorted[int(.95 (n-1))]`` (E21), by rank: nothing is
+    collected into arrays, and a group too large for a task is ordered by several (``ranked``)."""
     rows = d.where(f"{value} >= 0 and {value} < double('infinity')").select(*groups, F.col(value).alias("x"))
-    w = Window.partitionBy(*groups)
-    rows = rows.withColumn("i", F.row_number().over(w.orderBy("x")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    rows = ranked(rows, groups, ["x"]).select(*groups, "x", (F.col("rank") - 1).alias("i"), F.col("size").alias("n"))
     mid = F.expr("i = floor((n - 1) / 2) or i = floor(n / 2)")
     return rows.groupBy(*groups).agg(
         F.max("n").alias("n"), F.avg(F.when(mid, F.col("x"))).alias("median"),

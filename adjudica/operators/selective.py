@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binomial import error_bound
+from .ranks import ranked
 
 GROUP = ["workload_id", "primitive"]
 # fixed values: candidate thresholds besides the confidences themselves; targets
@@ -42,13 +43,14 @@ def sweep(s: DataFrame, groups: list[str] = GROUP) -> DataFrame:
     values = s.groupBy(*groups, "confidence").agg(F.count(F.lit(1)).alias("k"), F.sum(1 - F.col("hit")).alias("e"))
     grid = s.select(*groups).distinct().select(*groups, F.explode(F.array(*(F.lit(float(x)) for x in GRID))).alias("t"))
     marks = values.select(*groups, (F.floor(F.col("confidence") * 10000 + 0.5) / 10000).alias("t")).unionByName(grid).distinct()
-    both = values.select(*groups, F.col("confidence").alias("t"), "k", "e").unionByName(
-        marks.select(*groups, "t", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("e")).withColumn("mark", F.lit(True)), allowMissingColumns=True
+    zero = F.lit(0).cast("long")
+    both = values.select(*groups, F.col("confidence").alias("t"), "k", "e", F.lit(0).alias("mark")).unionByName(
+        marks.select(*groups, "t", zero.alias("k"), zero.alias("e"), F.lit(1).alias("mark"))
     )
-    down = Window.partitionBy(*groups).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*groups)
-    both = both.withColumn("accepted", F.sum("k").over(down)).withColumn("errors", F.sum("e").over(down)).withColumn("n", F.sum("k").over(every))
-    return both.where("mark").select(*groups, F.col("t").alias("threshold"), "n", "accepted", "errors")
+    both = both.groupBy(*groups, "t").agg(F.sum("k").alias("k"), F.sum("e").alias("e"), F.max("mark").alias("mark"))
+    n = s.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    both = ranked(both, groups, ["t"], ("k", "e"), descending=True).where("mark = 1").join(n, groups)
+    return both.select(*groups, F.col("t").alias("threshold"), "n", F.col("upto_k").alias("accepted"), F.col("upto_e").alias("errors"))
 
 
 def fitted_threshold(s: DataFrame, groups: list[str] = GROUP) -> DataFrame:
