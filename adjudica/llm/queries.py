@@ -60,6 +60,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*pair).distinct()
 
 
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps with the training split, counted per evaluation split and source."""
+    suite = table(spark, sf_dir, "suite")
+    facts = suite.where("evaluation_split <> 'train'").select(F.col("example_id").alias("eval_id"), "evaluation_split", "source_group_id").distinct()
+    found = split_overlap.split_overlap(suite).join(facts, "eval_id")
+    return found.groupBy("evaluation_split", "source_group_id").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_distinct("eval_id").alias("examples"), F.max("eval_covered").alias("most_words_covered")
+    )
+
+
+def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state in its consistent form."""
+    found = visual_form.visual_form(table(spark, sf_dir, "suite"))
+    return found.select(F.col("id").alias("example_id"), F.col("form").alias("state"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = visual_form.lookalike_pairs(table(spark, sf_dir, "suite"))
     return found.select(F.col("a").alias("example_id_a"), F.col("b").alias("example_id_b"))
