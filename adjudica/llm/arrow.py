@@ -20,6 +20,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 6_000_000
         at = 0
         while at < len(text):
             done = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, done + most, "right")))
+            to = min(max(at + 1, int(np.searchsorted(size, done + most, "right"))), at + (1 << 16))
             yield batch.slice(at, to - at)
             at = to

@@ -34,14 +34,11 @@ def word_lists(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unique_runs(word: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct run hashes of each row, sorted by (row, hash), and row offsets."""
+    """Distinct runs of each row as 44-bit hashes, sorted by (row, hash), and row offsets; at most 2^20 rows. Row and hash
+    share one integer, so one sort of integers does."""
     h, row, _ = cp.runs_of(word, offsets, k)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[new], row[new]
-    return h, np.searchsorted(row, np.arange(len(offsets)))
+    x = np.unique(row.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+    return x & np.uint64((1 << 44) - 1), np.searchsorted(x >> np.uint64(44), np.arange(len(offsets)).astype(np.uint64))
 
 
 def _classes(k: int, least_words: int) -> Callable:
@@ -50,7 +47,7 @@ def _classes(k: int, least_words: int) -> Callable:
             word, at = word_lists(states.texts(b.column(2)))
             h, to = unique_runs(word, at, k)
             total = np.zeros((2, len(h) + 1), np.uint64)
-            np.cumsum(h, out=total[0, 1:], dtype=np.uint64)
+            np.cumsum(cp.mix(h + np.uint64(1)), out=total[0, 1:], dtype=np.uint64)
             np.cumsum(cp.mix(h + np.uint64(5)), out=total[1, 1:], dtype=np.uint64)
             sums = [cp.mix(total[i, to[1:]] - total[i, to[:-1]] + np.diff(to).astype(np.uint64)) for i in (0, 1)]
             long = np.flatnonzero(np.diff(at) >= least_words)
@@ -108,7 +105,7 @@ def _sketch(k: int, slots: int) -> Callable:
         count = np.zeros(slots, np.int64)
         for b in batches:
             lists = b.column(0)
-            h, _ = unique_runs(lists.flatten().to_numpy().view(np.uint64), _list_offsets(lists), k)
+            h, _, _ = cp.runs_of(lists.flatten().to_numpy().view(np.uint64), _list_offsets(lists), k)
             count += np.bincount((h >> np.uint64(40)).astype(np.int64) & (slots - 1), minlength=slots)
         yield _table(np.minimum(count, 2**31))
 
