@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from . import arrow
 from . import codepoints as cp
 
@@ -40,7 +41,8 @@ def lookalike_pairs(records: DataFrame, id_col: str = "example_id", text_col: st
     """
     rows = visual_form(records.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()), id_col, text_col)
     f, r = ["form_x", "form_y"], ["text_x", "text_y"]
-    rows = rows.select("id", *_hash("form"), *_hash("text")).distinct()
+    hashed = rows.select("id", *_hash("form"), *_hash("text")).distinct()
+    rows = Scratch(records.sparkSession, "lookalikes").save(hashed, "hashed")  # read four times below
     many = rows.groupBy(*f).agg(F.min("text_x").alias("u"), F.max("text_x").alias("v")).filter("u <> v").select(*f)
     rows = rows.join(many, f, "left_semi")
     kinds = rows.select(*f, *r).distinct()
