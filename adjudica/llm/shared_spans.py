@@ -6,8 +6,13 @@ the result is the union of shared windows, found without comparing texts pairwis
 1. Anchors. Of all runs of ``length / 2`` characters, those whose hash is least within ``length / 2 + 1`` neighbours
    (winnowing; Schleimer, Wilkerson, Aiken 2003). Every window contains one, and equal windows contain equal ones.
 2. Anchors that two texts have survive one aggregation, and a Bloom filter of capped size takes them back to the texts.
-3. Around a surviving anchor, the windows that contain it are compared by hash, per anchor, in numpy. An anchor of more
-   than ``hot`` texts is split by window offset instead: aggregations with partial sums, no group in one task.
+3. The texts around one surviving anchor are one reference shard: a suffix automaton of them, with the owners of every
+   substring, gives the matching statistics of each text against those of the others, and from them the maximal spans.
+   An anchor of more than ``hot`` texts is split by window offset instead: aggregations with partial sums over window
+   hashes, no group in one task.
+
+An automaton of all texts, broadcast in shards, would give the same spans, but every shard would be streamed past by
+every text: work that grows with the square of the corpus. The anchors leave each shard only the texts that can match.
 
 Equal texts are one class, so a text that a third of the corpus repeats costs no more than any other.
 """
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import hub_join
 from ..storage import Scratch
-from . import arrow
+from . import arrow, suffix_automaton
 from . import codepoints as cp
 
 
@@ -149,48 +154,39 @@ def _contexts(length: int, filter_) -> Callable:
     return run
 
 
-def _shared_windows(anchor: np.ndarray, owner: np.ndarray, at: np.ndarray, before: np.ndarray, text: pa.Array, length: int) -> pa.RecordBatch:
-    """Spans (class, start, stop): runs of windows around an anchor that another class has around the same anchor."""
-    points, offsets = cp.decode(text)
-    h = cp.prefix_hash(points)
-    count = np.maximum(0, np.minimum(before + 1, np.diff(offsets) - length + 1))
-    row = np.repeat(np.arange(len(anchor)), count)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    begin = offsets[row] + step
-    back = (before[row] - step).astype(np.uint64)  # how far the window begins before the anchor
-    key = cp.mix(cp.span_hash(h, begin, begin + length) ^ cp.mix(anchor[row] + back))
-    order = np.argsort(key, kind="stable")
-    k, who = key[order], owner[row[order]]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    first = np.flatnonzero(new)
-    if len(first):
-        two = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
-    else:
-        two = np.zeros(0, bool)
-    hit = np.zeros(len(k), bool)
-    hit[order] = two[np.cumsum(new) - 1]
-    row, step = row[hit], step[hit]
-    edge = np.ones(len(row), bool)
-    edge[1:] = (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)
-    begins = np.flatnonzero(edge)
-    stops = np.append(begins[1:], len(row)) - 1 if len(begins) else begins
-    base = at[row[begins]] - before[row[begins]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(owner[row[begins]]), pa.array(base + step[begins]), pa.array(base + step[stops] + length)], ["class", "start", "stop"]
-    )
+def _spans_of(table: pa.Table, length: int) -> pa.RecordBatch:
+    """Spans (class, start, stop) of the texts around whole anchors (sorted by anchor) that another class has there too.
+
+    Texts that agree throughout share all they have; the others of an anchor, one of each, go into one automaton.
+    """
+    anchor, owner, at, before = (table.column(i).to_numpy() for i in range(4))
+    texts = table.column(4).to_pylist()
+    begin = at - before
+    edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+    out: list[tuple[int, int, int]] = []
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if hi - lo < 2:
+            continue
+        same: dict[str, list[int]] = {}
+        for i in range(lo, hi):
+            same.setdefault(texts[i], []).append(i)
+        common = {t: len({owner[i] for i in x}) > 1 for t, x in same.items()}
+        for t, x in same.items():
+            if common[t] and len(t) >= length:
+                out += [(owner[i], begin[i], begin[i] + len(t)) for i in x]
+        if len(same) > 1:
+            kinds = list(same)
+            # a text of several classes is covered above; to the others it is another's whichever class they are of
+            owners = [("several", t) if common[t] else owner[same[t][0]] for t in kinds]
+            found = suffix_automaton.shared_spans(kinds, owners, length)
+            out += [(owner[i], begin[i] + a, begin[i] + z) for t, x in zip(kinds, found) if not common[t] for a, z in x for i in same[t]]
+    cols = np.array(out, np.int64).reshape(-1, 3).T
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["class", "start", "stop"])
 
 
 def _compare(length: int, most: int = 4096) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(b: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
-            c = [b.column(i).to_numpy() for i in range(4)]
-            text = b.column(4)
-            text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-            return _shared_windows(c[0].view(np.uint64), c[1], c[2], c[3].astype(np.int64), text, length)
-
         for whole in batches:
             for lo in range(0, len(whole), most):
                 held.append(whole.slice(lo, most))
@@ -198,10 +194,10 @@ def _compare(length: int, most: int = 4096) -> Callable:
                 a = table.column(0).to_numpy()
                 cut = int(np.searchsorted(a, a[-1], "left"))  # the last anchor's rows may go on
                 if cut:
-                    yield done(table.slice(0, cut))
+                    yield _spans_of(table.slice(0, cut), length)
                 held = table.slice(cut).combine_chunks().to_batches()
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield _spans_of(pa.Table.from_batches(held), length)
 
     return run
 
@@ -220,7 +216,7 @@ def _split_by_offset(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def shared_spans(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 4096
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 1000
 ) -> DataFrame:
     """``(doc, chars, shared_chars)`` for every text of which at least one span of ``length`` characters occurs in another.
 

@@ -315,7 +315,7 @@ def test_many_texts_around_one_anchor(spark):
     docs = [(i, spans(150, 100 + i) + core + spans(150, 200 + i // 2)) for i in range(60)]
     df = frame(spark, docs, "doc_id long, text string")
     want = brute.p10(docs)
-    for hot in (4096, 10):
+    for hot in (1000, 10):
         assert set(rows(shared_spans.shared_spans(df, hot=hot), "doc", "shared_chars")) == want
 
 
@@ -323,3 +323,18 @@ def test_bad_utf8_is_replaced():
     bad = pa.Array.from_buffers(pa.string(), 2, [None, pa.py_buffer(np.array([0, 3, 5], np.int32)), pa.py_buffer(b"a\xffbok")])
     points, offsets = cp.decode(bad)
     assert cp.encode(points, offsets).to_pylist() == ["a�b", "ok"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab", max_size=14), st.integers(0, 2)), max_size=6))
+def test_suffix_automaton(data):
+    from adjudica.llm import suffix_automaton
+
+    texts, owners = [t for t, _ in data], [-5 * o - 2 for _, o in data]
+    got = suffix_automaton.shared_spans(texts, owners, 3)
+    for (t, o), spans_ in zip(data, got):
+        covered = set()
+        for k in range(len(t) - 2):
+            if any(t[k : k + 3] in x for x, p in data if p != o):
+                covered |= {k, k + 1, k + 2}
+        assert {i for a, z in spans_ for i in range(a, z)} == covered
