@@ -37,7 +37,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    """Six places, and no negative zero."""
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +415,7 @@ def e04_per_label(spark, sf_dir):
 
 
 @query(f"""with {_LABELS} select {G}, round(max(support) / sum(support), 6) as majority, round(sum(tp) / sum(support), 6) as accuracy,
-             round(sum(tp) / sum(support) - max(support) / sum(support), 6) as margin from f group by all""")
+             round(sum(tp) / sum(support) - max(support) / sum(support), 6) + 0 as margin from f group by all""")
 def e05_majority(spark, sf_dir):
     d = decisions(spark, sf_dir, "workload_id", "primitive", "reference", "prediction")
     return rounded(metrics.majority(d), "majority", "accuracy", "margin")
@@ -435,7 +436,7 @@ def e06_nmae(spark, sf_dir):
            a as (select {G}, i, count(*) as n from v group by all), b as (select {G}, j, count(*) as n from v group by all),
            o as (select {G}, count(*) as n, avg((i - j) * (i - j)) as observed from v group by all),
            x as (select a.workload_id, a.primitive, sum(a.n::double * b.n * (i - j) * (i - j)) as e from a join b using ({G}) group by all)
-           select {G}, n, round(case when e < 1e-12 then case when observed < 1e-12 then 1.0 else 0.0 end else 1 - observed / (e / (n::double * n)) end, 6) as kappa from o join x using ({G})""")
+           select {G}, n, round(case when e < 1e-12 then case when observed < 1e-12 then 1.0 else 0.0 end else 1 - observed / (e / (n::double * n)) end, 6) + 0 as kappa from o join x using ({G})""")
 def e07_qwk(spark, sf_dir):
     return rounded(metrics.weighted_kappa(decisions(spark, sf_dir, "workload_id", "primitive", "reference", "prediction")), "kappa")
 
@@ -637,9 +638,9 @@ def e32_failure_slices(spark, sf_dir):
 
 @query(f"""with {S}, x as (select {G}, reference, unnest(ids) as option, unnest(p) as v from s), n as (select {G}, count(*) as n from s group by all),
            g as (select {G}, option, ln(greatest(count(*) filter (reference = option), 1) / max(n)) - ln(greatest(avg(v), 1e-6)) as r from x join n using ({G}) group by all)
-           select {G}, option, round(r - avg(r) over (partition by {G}), 6) as shift from g""")
+           select {G}, option, round(r - avg(r) over (partition by {G}), 6) + 0 as shift from g""")
 def e33_prior_correction(spark, sf_dir):
-    return calibrate.prior_correction(scored(spark, sf_dir))
+    return rounded(calibrate.prior_correction(scored(spark, sf_dir)), "shift")
 
 
 @query(f"""with {D}, r as (select coalesce(answer.disposition, 'none') as reason from d) select reason, count(*) as n from r group by 1""")
