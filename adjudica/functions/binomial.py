@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 
 def upper_bound(errors: int, n: int, alpha: float = 0.05) -> float:
@@ -17,18 +17,37 @@ def upper_bound(errors: int, n: int, alpha: float = 0.05) -> float:
         return 1.0
     if errors <= 0:
         return 1.0 - alpha ** (1.0 / n)
-    k = np.arange(errors + 1)
-    terms = np.array([math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in k.tolist()])
     lo, hi = errors / n, 1.0
+    terms = log_choose(n, errors)
     for _ in range(60):
         p = (lo + hi) / 2
-        logs = terms + k * math.log(p) + (n - k) * math.log1p(-p)
-        top = logs.max()
-        cdf = math.exp(top) * np.exp(logs - top).sum()
-        lo, hi = (p, hi) if cdf > alpha else (lo, p)
+        lo, hi = (p, hi) if cdf(terms, n, p) > alpha else (lo, p)
     return (lo + hi) / 2
 
 
+def log_choose(n: int, most: int) -> np.ndarray:
+    """ln C(n, k) for k = 0..most."""
+    k = np.arange(1, most + 1)
+    return np.concatenate([[0.0], np.cumsum(np.log(n - k + 1) - np.log(k))])
+
+
+def cdf(terms: np.ndarray, n: int, p: float) -> float:
+    k = np.arange(len(terms))
+    logs = terms + k * math.log(p) + (n - k) * math.log1p(-p)
+    top = logs.max()
+    return math.exp(top) * float(np.exp(logs - top).sum())
+
+
 @pandas_udf(DoubleType())
 def error_bound(errors: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([upper_bound(int(e), int(m)) for e, m in zip(errors.fillna(0), n.fillna(0))], dtype="float64")
+
+
+def bound_is_at_most(errors, n, most: float, alpha: float = 0.05):
+    """Whether the bound of (errors, n) is ``most`` or less: one CDF value instead of a bisection."""
+
+    @pandas_udf(BooleanType())
+    def passes(errors: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([0 <= e < m and cdf(log_choose(m, e), m, most) <= alpha for e, m in zip(errors.astype(int).tolist(), n.astype(int).tolist())], dtype=bool)
+
+    return passes(errors, n)

@@ -15,6 +15,12 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once: a lambda's body is evaluated for every element, so what does not depend
+    on the element must be bound outside of it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def with_options(df: DataFrame, probabilities: str = "answer.probabilities") -> DataFrame:
     """``ids, p, z`` from a map of probabilities; logits are ``ln max(p, 1e-15)``."""
     m = F.col(probabilities)
@@ -29,8 +35,8 @@ def softmax(z: Column, temperature: Column | float = 1.0, bias: Column | None =
     scaled = F.transform(z, lambda x: x / t)
     if bias is not None:
         scaled = F.when(bias.isNull() | (F.size(bias) != F.size(z)), scaled).otherwise(F.zip_with(scaled, bias, lambda x, b: x + b))
-    exps = F.transform(scaled, lambda x: F.exp(x - F.array_max(scaled)))
-    return F.transform(exps, lambda x: x / total(exps))
+    exps = let(scaled, lambda s: let(F.array_max(s), lambda m: F.transform(s, lambda x: F.exp(x - m))))
+    return let(exps, lambda e: let(total(e), lambda n: F.transform(e, lambda x: x / n)))
 
 
 def argmax_first(ids: Column, p: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,12 +20,13 @@ POINTS = 9
 def mean_nll(points: DataFrame, at: DataFrame, groups: list[str], names: list[str]) -> pd.DataFrame:
     """Mean NLL of ``points(z, target)`` at each temperature column of ``at``; ``at`` has one row per group and is
     broadcast only by its size."""
-    rows = points.join(at, groups)
-    cost = []
-    for c in names:
-        p = F.element_at(ds.softmax(F.col("z"), F.col(c)), F.col("target"))
-        cost.append(F.avg(-F.ln(F.greatest(p, F.lit(ds.LEAST)))).alias(c))
-    return rows.groupBy(*groups).agg(*cost).toPandas()
+    rows = points.join(at, groups).withColumn("top", F.array_max("z")).withColumn("mine", F.element_at("z", F.col("target")))
+
+    def cost(c: str):  # log-sum-exp: one pass over the logits per temperature
+        norm = F.ln(F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("top")) / F.col(c))))
+        return F.avg(F.least(norm - (F.col("mine") - F.col("top")) / F.col(c), F.lit(-math.log(ds.LEAST)))).alias(c)
+
+    return rows.groupBy(*groups).agg(*(cost(c) for c in names)).toPandas()
 
 
 def fit_temperature(points: DataFrame, groups: list[str] = GROUP, low: float = 0.05, high: float = 10.0, tolerance: float = 1e-4) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
+KEY = ["example_id", "question_id"]
+
 
 def shadow_decisions(log: DataFrame) -> DataFrame:
     """One row per decision of a shadow log; a request delivered twice counts once. ``logged_at`` is parsed with its
@@ -32,11 +36,12 @@ def shadow_summary(rows: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def hash_sample(rows: DataFrame, size: str, groups: list[str], key: list[str], seed: str) -> DataFrame:
-    """The ``size`` (SQL over window columns) rows of each group whose seeded hash is least (G3): the same on any
+    """The ``size`` (SQL, over the columns and the group's ``size``) rows of each group whose seeded hash is least (G3): the same on any
     partitioning, in place of a seeded shuffle."""
-    h = F.sha2(F.concat_ws("\x00", F.lit(seed), *key), 256)
-    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(h, *key)))
-    return rows.where(f"_rank <= {size}").drop("_rank")
+    rows = rows.withColumn("_h", F.sha2(F.concat_ws("\x00", F.lit(seed), *key), 256))
+    names = rows.columns
+    rows = ranked(rows, groups, ["_h", *key]).where(f"rank <= {size}")
+    return rows.select(*(c for c in names if c != "_h"))
 
 
 def control_arm(d: DataFrame, seed: str = "control") -> DataFrame:
@@ -55,9 +60,9 @@ def failure_slices(d: DataFrame, first: int = 10) -> DataFrame:
     """Errors per workload with the first few ids (E32): a top-k report."""
     bad = d.where("reference is not null and reference <> prediction")
     order = Window.partitionBy("workload_id").orderBy("example_id", "question_id")
-    bad = bad.withColumn("r", F.row_number().over(order))
-    head = F.sort_array(F.collect_list(F.when(F.col("r") <= first, F.concat_ws(":", "example_id", "question_id"))))
-    return bad.groupBy("workload_id").agg(F.count(F.lit(1)).alias("errors"), F.array_join(head, ",").alias("first_ids"))
+    head = bad.select("workload_id", *KEY).withColumn("r", F.row_number().over(order)).where(F.col("r") <= first)  # k rows a task
+    head = head.groupBy("workload_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", *KEY))), ",").alias("first_ids"))
+    return bad.groupBy("workload_id").agg(F.count(F.lit(1)).alias("errors")).join(head, "workload_id")
 
 
 def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

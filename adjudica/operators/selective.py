@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binomial import error_bound
+from ..functions.binomial import bound_is_at_most, error_bound
 from .ranks import ranked
 
 GROUP = ["workload_id", "primitive"]
@@ -70,12 +70,13 @@ def certified_threshold(s: DataFrame, groups: list[str] = GROUP) -> DataFrame:
     """The lowest threshold whose coverage, bound and number accepted pass (E18); without one, review only, with the
     figures at 1.01: nothing accepted, bound 1. In-sample: the same rows choose and certify."""
     rows = rates(sweep(s, groups)).where(f"coverage >= {LEAST_COVERAGE} and accepted >= {LEAST_ACCEPTED} and error_rate <= {MOST_ERROR}")
-    rows = rows.withColumn("bound", error_bound("errors", "accepted")).where(f"bound <= {MOST_ERROR}")
-    best = rows.groupBy(*groups).agg(F.min_by(F.struct("threshold", "accepted", "coverage", "bound"), "threshold").alias("b"))
+    rows = rows.where(bound_is_at_most("errors", "accepted", MOST_ERROR))
+    best = rows.groupBy(*groups).agg(F.min_by(F.struct("threshold", "accepted", "errors", "coverage"), "threshold").alias("b"))
+    best = best.withColumn("bound", error_bound("b.errors", "b.accepted"))
     out = s.select(*groups).distinct().join(best, groups, "left")
     return out.select(
         *groups, F.when(F.col("b").isNull(), "review_only").otherwise("threshold").alias("policy"), F.col("b.threshold").alias("threshold"),
-        F.coalesce("b.accepted", F.lit(0)).alias("accepted"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("b.bound", F.lit(1.0)).alias("bound"),
+        F.coalesce("b.accepted", F.lit(0)).alias("accepted"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("bound", F.lit(1.0)).alias("bound"),
     )
 
 

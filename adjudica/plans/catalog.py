@@ -322,10 +322,12 @@ def c09_split_manifest(spark, sf_dir):
 @query(f"""with {D}, r as (select *, row_number() over (partition by workload_id order by example_id, question_id) as i, count(*) over (partition by workload_id) as n from d)
            select workload_id, string_agg(example_id || ':' || question_id, ',' order by i) as head from r where n >= 5 and i <= 5 group by 1""")
 def c11_fixture_heads(spark, sf_dir):
-    w = Window.partitionBy("workload_id")
-    d = decisions(spark, sf_dir, "workload_id").withColumn("i", F.row_number().over(w.orderBy(*KEY))).withColumn("n", F.count(F.lit(1)).over(w))
+    d = decisions(spark, sf_dir, "workload_id")
+    enough = d.groupBy("workload_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("workload_id")
+    d = d.withColumn("i", F.row_number().over(Window.partitionBy("workload_id").orderBy(*KEY))).where("i <= 5")  # five rows a task
     item = F.struct("i", F.concat_ws(":", *KEY).alias("k"))
-    return d.where("n >= 5 and i <= 5").groupBy("workload_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["k"]), ",").alias("head"))
+    head = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["k"]), ",").alias("head")
+    return d.join(enough, "workload_id", "left_semi").groupBy("workload_id").agg(head)
 
 
 # ---- joins ----------------------------------------------------------------------------------------------------------
@@ -559,8 +561,9 @@ def e21_latency(spark, sf_dir):
 def e22_speedup(spark, sf_dir):
     d = decisions(spark, sf_dir, "workload_id", "primitive", "inference_ms", "request_total_ms")
     d = d.where("inference_ms >= 0 and inference_ms < double('infinity') and request_total_ms >= 0 and request_total_ms < double('infinity')")
-    out = d.groupBy("workload_id", "primitive").agg(F.median("inference_ms").alias("a"), F.median("request_total_ms").alias("b"))
-    return rounded(out.select("workload_id", "primitive", F.try_divide("b", "a").alias("speedup")), "speedup")
+    a = metrics.latency(d, "inference_ms").select("workload_id", "primitive", F.col("median").alias("a"))
+    b = metrics.latency(d, "request_total_ms").select("workload_id", "primitive", F.col("median").alias("b"))
+    return rounded(a.join(b, ["workload_id", "primitive"]).select("workload_id", "primitive", F.try_divide("b", "a").alias("speedup")), "speedup")
 
 
 _EQ = f"""{_ARMS}, eq as (select workload_id, list_position(p1, list_max(p1)) = list_position(p2, list_max(p2)) as agrees,
@@ -687,8 +690,8 @@ def f04_ordinal_loss(spark, sf_dir):
            qualify row_number() over (partition by workload_id order by sha256('s' || chr(0) || example_id || chr(0) || question_id), example_id, question_id) <= ceil(count(*) over (partition by workload_id) / 20.0::double)""")
 def g03_hash_sample(spark, sf_dir):
     """A sampling operator: a twentieth of each workload, by seeded hash."""
-    d = decisions(spark, sf_dir, "workload_id").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("workload_id")))
-    return monitor.hash_sample(d, "ceil(_n / 20.0D)", ["workload_id"], KEY, "s").drop("_n")
+    d = decisions(spark, sf_dir, "workload_id")
+    return monitor.hash_sample(d, "ceil(size / 20.0D)", ["workload_id"], KEY, "s")
 
 
 @query("""with w as (select item_id, workload_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) as w from heldout_items where text is not null),
