@@ -7,7 +7,6 @@ folder takes its place. A lost executor loses nothing that is kept here.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -48,12 +47,6 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def settle(self) -> None:
-        """Let Spark delete the shuffle files of finished stages now: it does so only when the driver collects garbage,
-        which a driver that merely plans may not do for the length of a job."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, name: str) -> None:
         fs, p = _fs(self.spark, f"{self.root}/{name}")
         fs.delete(p, True)
