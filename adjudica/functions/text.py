@@ -4,6 +4,7 @@ Arrow-batched; all else is built in."""
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -35,14 +36,10 @@ def canonical_state(state: pd.Series) -> pd.Series:
 
 
 @pandas_udf(StringType())
-def folded(text: pd.Series) -> pd.Series:
-    """NFKC and case folding, the base of the duplicate key."""
-    return text.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
-
-
-def duplicate_key(text: Column) -> Column:
-    """Words of the folded text joined by a space."""
-    return F.array_join(F.regexp_extract_all(folded(text), F.lit(r"(?U)(\w+)"), F.lit(1)), " ")
+def duplicate_key(text: pd.Series) -> pd.Series:
+    """Words of the NFKC form, case folded, joined by a space (B22). Words are split here too: Java's ``\\w`` takes combining
+    marks and joiners for letters, the reference does not."""
+    return text.map(lambda x: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", x).casefold())), na_action="ignore")
 
 
 def plain(text: Column) -> Column:

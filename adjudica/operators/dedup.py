@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..storage import Scratch
 from .components import connected_components
+from .skew import hub_join
 
 
 def exact_duplicates(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
@@ -27,16 +29,49 @@ def similar_pairs(rows: DataFrame, id_col: str, words: Column, least: float = 0.
     sorted order are indexed, sizes must allow the similarity, and the sets decide. Rows with equal word lists are taken
     together first, so exact copies cost nothing; ``a`` and ``b`` are the least ids of their texts."""
     one = rows.select(F.col(id_col).alias("id"), words.alias("w")).where("w is not null").groupBy(F.xxhash64("w").alias("h"), F.sha2(F.array_join("w", " "), 256).alias("s"))
-    one = one.agg(F.min("id").alias("id"), F.first("w").alias("w")).select("id", shingles(F.col("w"), k).alias("g")).where("size(g) > 0")
+    one = one.agg(F.min("id").alias("id"), F.first("w").alias("w")).select("id", shingles(F.col("w"), k).alias("g"))
+    one = one.where("size(g) > 0")
+    return verified(met_pairs(one, least), one, least)
+
+
+def met_pairs(one: DataFrame, least: float) -> DataFrame:
+    """``(a, b)`` of rows ``(id, g)`` that share a digest of both prefixes and have sizes that allow the similarity."""
     head = one.select("id", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), F.expr(f"cast(size(g) - ceil({least}D * size(g)) + 1 as int)"))).alias("t"))
     x, y = head.alias("x"), head.alias("y")
-    met = x.join(y, F.expr(f"x.t = y.t and x.id < y.id and least(x.n, y.n) >= {least}D * greatest(x.n, y.n)")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return x.join(y, F.expr(f"x.t = y.t and x.id < y.id and least(x.n, y.n) >= {least}D * greatest(x.n, y.n)")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def verified(met: DataFrame, one: DataFrame, least: float) -> DataFrame:
     met = met.join(one.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(one.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))
     out = met.withColumn("similarity", both / (F.size("ga") + F.size("gb") - both))
     return out.where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def near_duplicates(rows: DataFrame, id_col: str, key: Column, least: float = 0.9, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``(members, pairs)``. Members: ``(id, class_id, links)``, one per row: the least id with the same ``key`` (words
+    joined by a space), and how many other rows are copies or near duplicates. Pairs: ``(a, b, similarity)`` of classes
+    (C1, C3). Rows without words are in no class and have no links."""
+    scratch = Scratch(rows.sparkSession, "near")
+    keyed = rows.select(F.col(id_col).alias("id"), F.nullif(key, F.lit("")).alias("key"))
+    keyed = scratch.save(keyed.withColumn("digest", F.sha2("key", 256)), "keyed")
+    classes = keyed.where("key is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.split(F.first("key"), " ").alias("w"))
+    classes = scratch.save(classes, "classes")  # words are split once: an expression inside ``shingles`` would run at every window
+    texts = classes.select(F.col("class_id").alias("id"), "w").where(f"size(w) >= {k}")
+    met = scratch.save(met_pairs(texts.select("id", shingles(F.col("w"), k).alias("g")), least), "met")
+    ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # digests are far larger than words: only of texts met
+    sets = scratch.save(texts.join(ids, "id", "left_semi").select("id", shingles(F.col("w"), k).alias("g")), "sets")
+    pairs = scratch.save(verified(met, sets, least), "pairs")
+    both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class_id"), F.col("a").alias("other")))
+    near = both.join(classes.select(F.col("class_id").alias("other"), "n"), "other").groupBy("class_id").agg(F.sum("n").alias("near"))
+    facts = classes.select("digest", "class_id", "n").join(near, "class_id", "left")
+    facts = facts.select("digest", "class_id", "n", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    total = classes.agg(F.sum("n").alias("s")).first().s or 0
+    members = hub_join(keyed.where("key is not null").select("id", "digest"), facts, "digest", total).select("id", "class_id", "links")
+    none = keyed.where("key is null").select("id", F.lit(None).cast(keyed.schema["id"].dataType).alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return members.unionByName(none), pairs
+
+
 def source_components(examples: DataFrame) -> DataFrame:
     """``(example_id, component)`` over the graph of source groups and clusters (C5): an example joins its two ids, and
     ids joined by any chain are one component, named by its least id. Null ids join nothing; an example without either

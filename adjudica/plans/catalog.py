@@ -272,6 +272,20 @@ def c03_near_dup_pairs(spark, sf_dir):
     return rounded(dedup.similar_pairs(rows, "doc_id", _words("text")), "similarity")
 
 
+@query()
+def c03_near_dup_documents(spark, sf_dir):
+    """Every document with the class of its text and the number of its copies and near duplicates; words by B22."""
+    members, _ = dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", tx.duplicate_key("text"))
+    return members.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def c03_near_dup_class_pairs(spark, sf_dir):
+    """The pairs of classes to ``c03_near_dup_documents``."""
+    _, pairs = dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", tx.duplicate_key("text"))
+    return rounded(pairs, "similarity")
+
+
 _COMPONENTS = """recursive n as (select distinct example_id, 'source:' || source_group_id as s,
                'cluster:' || nullif(nullif(near_duplicate_cluster_id, ''), 'unclustered') as c from suite),
   e as (select distinct s as a, c as b from n where s is not null and c is not null union select distinct c, s from n where s is not null and c is not null),

@@ -1,8 +1,10 @@
 """Golden values, edge cases and invariants of the operators that SQL does not cover."""
 
+import itertools
 import json
 import math
 import random
+import re
 import unicodedata
 import zipfile
 
@@ -15,7 +17,7 @@ from adjudica.functions.binomial import upper_bound
 from adjudica.operators import calibrate, compare, dedup, metrics, monitor, ranks, report, selective
 from adjudica.operators.components import connected_components
 from adjudica.operators.skew import hub_join
-from adjudica.plans import tables
+from adjudica.plans import catalog, tables
 from adjudica.sources import files
 from adjudica.streaming import shadow
 
@@ -180,6 +182,44 @@ def test_near_duplicates(spark):
     assert [(r.a, r.b) for r in dedup.similar_pairs(df, "id", F.col("w")).collect()] == [(1, 2)]
 
 
+def brute_keys(rows):
+    return {i: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", x).casefold())) for i, x in rows if x is not None}
+
+
+def brute_near(rows, least=0.9, k=5):
+    """(links of every id, pairs of classes) by comparing all with all."""
+    keys = brute_keys(rows)
+    grams = {i: {tuple(x.split()[j : j + k]) for j in range(len(x.split()) - k + 1)} for i, x in keys.items()}
+    links, pairs, first = {i: 0 for i, _ in rows}, set(), {}
+    for i in sorted(keys):
+        first.setdefault(keys[i], i)
+    for i, j in itertools.combinations(sorted(x for x in keys if keys[x]), 2):
+        same, a, b = keys[i] == keys[j], grams[i], grams[j]
+        if same or (a and b and len(a & b) >= least * len(a | b)):
+            links[i], links[j] = links[i] + 1, links[j] + 1
+            pairs |= set() if same else {tuple(sorted((first[keys[i]], first[keys[j]])))}
+    return {i: (first[keys[i]] if keys.get(i) else None, n) for i, n in links.items()}, pairs
+
+
+def test_every_near_duplicate_has_a_row(spark):
+    w = " ".join(f"w\u00f6rd{i}" for i in range(60))
+    rows = [(1, w), (2, w + " extra"), (3, w.upper().replace(" ", ", ")), (4, unicodedata.normalize("NFD", w)), (5, None), (6, "..."), (7, "a\u200db"), (8, "a b"),
+            (9, w + " extra!"), (10, " ".join(reversed(w.split()))), (11, "\uff57" + w[1:]), (12, "q\u0301 r"), (13, "q r"), (14, "")]
+    members, pairs = dedup.near_duplicates(spark.createDataFrame(rows, "id int, t string"), "id", tx.duplicate_key("t"))
+    want, want_pairs = brute_near(rows)
+    assert {r.id: (r.class_id, r.links) for r in members.collect()} == want and members.count() == len(rows)
+    assert want[4] == (1, 5) and want[8] == (7, 1) and want[13] == (12, 1)
+    assert {(r.a, r.b) for r in pairs.collect()} == want_pairs == {(1, 2)}
+
+
+def test_near_dup_documents_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in tables.table(spark, SF, "documents").select("doc_id", "text").collect()]
+    want, want_pairs = brute_near(rows)
+    queries = catalog.queries()
+    assert {r.doc_id: (r.class_id, r.links) for r in queries["c03_near_dup_documents"](spark, SF).collect()} == want
+    assert {(r.a, r.b) for r in queries["c03_near_dup_class_pairs"](spark, SF).collect()} == want_pairs
+
+
 def test_quarantine_and_split_conflicts(spark):
     rows = [("a", "s1", "c1", "train", "train", False), ("b", "s1", "c2", "dev", "development", False), ("c", "s2", "c2", "dev", "development", False),
             ("d", "s3", "c3", "train", "train", False), ("e", None, None, None, None, True), ("f", "s4", "unclustered", None, None, None)]
