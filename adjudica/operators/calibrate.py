@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as ds
 from ..storage import Scratch
+from . import metrics
 
 GROUP = ["workload_id", "primitive"]
 #: Points at which a pass evaluates each group's interval.
@@ -108,6 +109,33 @@ def fit_vector(points: DataFrame, groups: list[str] = GROUP) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(fit, schema)
 
 
+def calibrated(s: DataFrame, groups: list[str] = GROUP) -> tuple[DataFrame, DataFrame]:
+    """``(rows, fits)``: ``scored`` rows with calibrated ``p`` and ``confidence``, and per group ``temperature, method,
+    vectors`` (F3). Where the scalar temperature leaves a Brier score above that of prevalence, vector scaling is fitted for
+    each set of options, as a bias belongs to an option, and kept if the group's Brier score falls. ``hit`` is of the
+    calibrated ``p``, since a bias can change the answer."""
+    scratch = Scratch(s.sparkSession, "calibrated")
+    s = scratch.save(s.select("example_id", "question_id", *groups, "reference", "ids", "z", "target"), "scored")
+    fit = fit_temperature(s, groups).select(*groups, "temperature")
+    scalar = s.join(fit, groups).withColumn("p", ds.softmax(F.col("z"), F.col("temperature"))).drop("temperature")
+    first = scratch.save(metrics.proper_scores(scalar, groups).select(*groups, "brier", "prevalence_brier"), "first")
+    weak = s.join(first.where("brier > prevalence_brier"), groups, "left_semi")
+    sets = [*groups, "ids"]
+    fits = scratch.save(fit_vector(weak, sets).select(*sets, F.col("temperature").alias("t"), "bias"), "fits")
+    vector = weak.join(fits, sets).withColumn("p", ds.softmax(F.col("z"), F.col("t"), F.col("bias"))).drop("t", "bias")
+    second = metrics.proper_scores(vector, groups).select(*groups, F.col("brier").alias("vector_brier"))
+    better = scratch.save(first.join(second, groups).where("vector_brier < brier").select(*groups), "better")
+    rows = scalar.join(better, groups, "left_anti").unionByName(vector.join(better, groups, "left_semi"))
+    rows = rows.withColumn("confidence", F.array_max("p"))
+    rows = rows.withColumn("hit", (ds.argmax_first(F.col("ids"), F.col("p")) == F.col("reference")).cast("int"))
+    vectors = F.array_sort(F.collect_list(F.struct("ids", F.col("t").alias("temperature"), "bias"))).alias("vectors")
+    vectors = fits.join(better, groups, "left_semi").groupBy(*groups).agg(vectors)
+    out = fit.join(vectors, groups, "left")
+    method = F.when(F.col("vectors").isNotNull(), "vector_scaling").otherwise("temperature_scaling")
+    temperature = F.when(F.col("vectors").isNull(), F.col("temperature"))
+    return rows, out.select(*groups, method.alias("method"), temperature.alias("temperature"), "vectors")
+
+
 def prior_correction(s: DataFrame, groups: list[str] = GROUP) -> DataFrame:
     """``(*groups, option, shift)``: ln of the label share less ln of the mean probability, centred (E33); floors of one
     count and 1e-6. Options a group never shows have no row."""

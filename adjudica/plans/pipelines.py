@@ -190,13 +190,13 @@ def e34_benchmark_summary(spark, sf_dir):
 
 @query()
 def f03_calibration_pipeline(spark, sf_dir):
-    """Calibration split to profile rows: temperature, Brier and ECE before and after, certified threshold, gates."""
+    """Calibration split to profile rows: temperature, or temperatures and biases of each set of options where those are kept;
+    Brier, ECE before and after, certified threshold, gates."""
     calibration = table(spark, sf_dir, "suite").where("evaluation_split = 'calibration'").select("example_id")
     d = decisions(spark, sf_dir, "workload_id", "primitive", "reference", "prediction", "answer").join(calibration, "example_id", "left_semi")
     s = metrics.scored(d)
-    fit = calibrate.fit_temperature(s).select("workload_id", "primitive", "temperature")
     by = ["workload_id", "primitive"]
-    after = s.join(fit, by).withColumn("p", ds.softmax(F.col("z"), F.col("temperature"))).withColumn("confidence", F.array_max("p"))
+    after, fit = calibrate.calibrated(s)
     scores = metrics.proper_scores(after).select(*by, "n", "brier", "prevalence_brier", "nll")
     raw = metrics.calibration_error(s).select(*by, F.col("ece").alias("ece_before"))
     ece = metrics.calibration_error(after).select(*by, "ece")

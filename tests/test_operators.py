@@ -17,7 +17,7 @@ from adjudica.functions.binomial import upper_bound
 from adjudica.operators import calibrate, compare, dedup, metrics, monitor, ranks, report, selective
 from adjudica.operators.components import connected_components
 from adjudica.operators.skew import hub_join
-from adjudica.plans import catalog, tables
+from adjudica.plans import catalog, pipelines, tables  # noqa: F401 (pipelines adds its queries to the catalog)
 from adjudica.sources import files
 from adjudica.streaming import shadow
 
@@ -175,6 +175,31 @@ def test_temperature_golden(spark):
     assert calibrate.fit_temperature(df).first().temperature < 1
 
 
+def test_vector_scaling_where_the_temperature_fails(spark):
+    # weak: the logits point the wrong way from a skewed label, which no temperature mends; even: a temperature does
+    rows = [("weak", ["a", "b"], [1.0, 0.0] if i % 2 else [2.0, 0.0], "a" if i < 8 else "b") for i in range(40)]
+    rows += [("even", ["a", "b"], [2.0, 0.0], "b" if i < 8 else "a") for i in range(20)] + [("even", ["a", "b"], [0.0, 2.0], "a" if i < 8 else "b") for i in range(20)]
+    df = spark.createDataFrame([(f"e{i}", "q", w, "choice", ids, z, r) for i, (w, ids, z, r) in enumerate(rows)],
+                               "example_id string, question_id string, workload_id string, primitive string, ids array<string>, z array<double>, reference string")
+    s = df.withColumn("target", F.array_position("ids", F.col("reference")).cast("int"))
+    after, fits = calibrate.calibrated(s)
+    fit = {r.workload_id: r for r in fits.collect()}
+    assert fit["even"].method == "temperature_scaling" and fit["even"].vectors is None and fit["even"].temperature > 0
+    weak = fit["weak"]
+    assert weak.method == "vector_scaling" and weak.temperature is None and len(weak.vectors) == 1 and weak.vectors[0].ids == ["a", "b"]
+    assert weak.vectors[0].bias[1] > weak.vectors[0].bias[0]
+    assert after.count() == len(rows) and after.select("example_id").distinct().count() == len(rows)
+    scores = {r.workload_id: r for r in metrics.proper_scores(after).collect()}
+    assert scores["weak"].brier < 0.35  # one temperature cannot prefer b: 0.5 or more
+    assert after.where("workload_id = 'weak'").agg(F.avg("hit")).first()[0] == 0.8
+
+
+def test_calibration_pipeline_tells_the_method(spark):
+    rows = catalog.queries()["f03_calibration_pipeline"](spark, "/root/testdata/sf0.01").collect()
+    assert {"vector_scaling", "temperature_scaling"} == {r.method for r in rows}
+    assert all((r.vectors is None) == (r.method == "temperature_scaling") for r in rows)
+
+
 def test_near_duplicates(spark):
     w = [f"word{i}" for i in range(100)]
     rows = [(1, w), (2, [*w, "extra"]), (3, w[::-1]), (4, w), (5, None), (6, ["a"])]
