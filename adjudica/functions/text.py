@@ -35,6 +35,41 @@ def canonical_state(state: pd.Series) -> pd.Series:
     return state.map(one, na_action="ignore")
 
 
+def _values(x, path: str = ""):
+    """(lower-cased path, text) of every scalar of parsed JSON."""
+    if isinstance(x, dict):
+        for k, v in x.items():
+            yield from _values(v, f"{path}.{k.lower()}")
+    elif isinstance(x, list):
+        for i, v in enumerate(x):
+            yield from _values(v, f"{path}.{i:09d}")
+    else:
+        yield path, x if isinstance(x, str) else json.dumps(x)
+
+
+def _decision_text(state: str) -> str:
+    if state.lstrip()[:1] != "{":
+        return state
+    try:
+        values = sorted(_values(json.loads(state)))
+    except (ValueError, RecursionError):
+        return state
+    named = dict(values)
+    if ".essay" in named:
+        return named[".essay"]
+    if ".question" in named and ".candidate_sentence" in named:
+        return named[".question"] + " " + named[".candidate_sentence"]
+    return " ".join(v for _, v in values)
+
+
+@pandas_udf(StringType())
+def decision_text(state: pd.Series) -> pd.Series:
+    """What a state puts up for decision: of a JSON object its essay, or question and candidate sentence; of any other object
+    all values in order of their paths; any other state as it is (C1). Half surrogates of JSON escapes become U+FFFD."""
+    sound = lambda x: x.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return state.map(lambda x: sound(_decision_text(x)), na_action="ignore")
+
+
 @pandas_udf(StringType())
 def duplicate_key(text: pd.Series) -> pd.Series:
     """Words of the NFKC form, case folded, joined by a space (B22). Words are split here too: Java's ``\\w`` takes combining

@@ -49,7 +49,7 @@ def verified(met: DataFrame, one: DataFrame, least: float) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, id_col: str, key: Column, least: float = 0.9, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``. Members: ``(id, class_id, links)``, one per row: the least id with the same ``key`` (words
+    """``(members, pairs)``. Members: ``(id_col, class_id, links)``, one per row: the least id with the same ``key`` (words
     joined by a space), and how many other rows are copies or near duplicates. Pairs: ``(a, b, similarity)`` of classes
     (C1, C3). Rows without words are in no class and have no links."""
     scratch = Scratch(rows.sparkSession, "near")
@@ -69,7 +69,20 @@ def near_duplicates(rows: DataFrame, id_col: str, key: Column, least: float = 0.
     total = classes.agg(F.sum("n").alias("s")).first().s or 0
     members = hub_join(keyed.where("key is not null").select("id", "digest"), facts, "digest", total).select("id", "class_id", "links")
     none = keyed.where("key is null").select("id", F.lit(None).cast(keyed.schema["id"].dataType).alias("class_id"), F.lit(0).cast("long").alias("links"))
-    return members.unionByName(none), pairs
+    return members.unionByName(none).withColumnRenamed("id", id_col), pairs
+
+
+def text_clusters(examples: DataFrame) -> DataFrame:
+    """``(example_id, cluster_id)``: examples joined by any chain of exact and near duplicates of their decision texts, named
+    by the least id (C4). An example without words is a cluster of its own; one delivered with several states joins them."""
+    scratch = Scratch(examples.sparkSession, "clusters")
+    texts = examples.select("example_id", "state").distinct()
+    texts = scratch.save(texts.select("example_id", tx.duplicate_key(tx.decision_text("state")).alias("key")), "texts")
+    members, pairs = near_duplicates(texts, "example_id", F.col("key"))
+    links = members.where("links > 0 and class_id is not null").select(F.col("class_id").alias("a"), F.col("example_id").alias("b"))
+    found = connected_components(links.unionByName(pairs.select("a", "b"))).withColumnRenamed("node", "example_id")
+    out = examples.select("example_id").distinct().join(found, "example_id", "left")
+    return out.select("example_id", F.concat(F.lit("dup-"), tx.stable_id(F.coalesce("component", "example_id"))).alias("cluster_id"))
 
 
 def source_components(examples: DataFrame) -> DataFrame:

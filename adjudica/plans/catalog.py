@@ -276,7 +276,7 @@ def c03_near_dup_pairs(spark, sf_dir):
 def c03_near_dup_documents(spark, sf_dir):
     """Every document with the class of its text and the number of its copies and near duplicates; words by B22."""
     members, _ = dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", tx.duplicate_key("text"))
-    return members.withColumnRenamed("id", "doc_id")
+    return members
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as ds
 from ..functions import text as tx
 from ..operators import calibrate, compare, dedup, logits, metrics, report, selective
+from ..storage import Scratch
 from .catalog import _ARMS, _COMPONENTS, _LABELS, G, KEY, query, rounded
 from .tables import D, O, decisions, profiles, second_arm, table
 
@@ -109,7 +110,24 @@ def c02_shingles(spark, sf_dir):
            from (select distinct example_id, workload_id from p) join m using (example_id) join f using (component) group by all""")
 def c10_suite_build(spark, sf_dir):
     """Components, quarantine of those across boundaries, splits of the rest, counted."""
+    return suite_build(table(spark, sf_dir, "suite"))
+
+
+@query()
+def c04_text_clusters(spark, sf_dir):
+    return dedup.text_clusters(table(spark, sf_dir, "suite"))
+
+
+@query()
+def c10_suite_build_from_texts(spark, sf_dir):
+    """The whole build (C1-C7): as ``c10_suite_build``, with clusters of the texts in place of the stored ids."""
     rows = table(spark, sf_dir, "suite")
+    clusters = Scratch(spark, "suite").save(dedup.text_clusters(rows), "clusters")
+    rows = rows.drop("near_duplicate_cluster_id").join(clusters.withColumnRenamed("cluster_id", "near_duplicate_cluster_id"), "example_id")
+    return suite_build(rows)
+
+
+def suite_build(rows: DataFrame) -> DataFrame:
     comp = dedup.source_components(rows)
     kept = dedup.boundary_conflicts(rows, comp).where("not quarantined").select("example_id", "component")
     splits = dedup.assign_splits(rows, kept, "seed")

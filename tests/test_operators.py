@@ -1,5 +1,6 @@
 """Golden values, edge cases and invariants of the operators that SQL does not cover."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -245,6 +246,32 @@ def test_near_dup_documents_against_brute_force(spark):
     assert {(r.a, r.b) for r in queries["c03_near_dup_class_pairs"](spark, SF).collect()} == want_pairs
 
 
+def test_suite_build_joins_and_quarantines_by_text(spark):
+    w = " ".join(f"word{i}" for i in range(60))
+    rows = [("a", "s1", "x1", w, "train", "train"), ("b", "s2", None, w.upper() + " Extra", "dev", "development"), ("c", "s3", "unclustered", "other text", None, None),
+            ("d", "s4", "x4", json.dumps({"Essay": "other, TEXT", "assignment": "z"}), None, None), ("e", "s5", "x5", None, None, None), ("f", "s6", "x6", "...", None, None),
+            ("g", "s7", "x7", '{"question": "other", "candidate_sentence": "text"}', None, None), ("h", "s8", "x1", "not alike", None, None),
+            ("i", "s9", "x9", '{"b": {"c": 1}, "A": "v"}', None, None), ("j", "s10", "x10", '{"a":"V","B":{"C":1}}', None, None)]
+    df = spark.createDataFrame([(i, s, c, x, (u,), e, False, "w") for i, s, c, x, u, e in rows],
+        "example_id string, source_group_id string, near_duplicate_cluster_id string, state string, public_source struct<upstream_split:string>, evaluation_split string, task_template_holdout boolean, workload_id string")
+    got = {r.example_id: r.cluster_id for r in dedup.text_clusters(df).collect()}
+    groups = {frozenset(i for i in got if got[i] == c) for c in got.values()}
+    assert groups == {frozenset(x) for x in ("ab", "cdg", "e", "f", "h", "ij")}
+    assert got["c"] == "dup-" + hashlib.sha256(b"c").hexdigest()[:24]
+    clustered = df.drop("near_duplicate_cluster_id").join(dedup.text_clusters(df).withColumnRenamed("cluster_id", "near_duplicate_cluster_id"), "example_id")
+    stored = {r.example_id: r.quarantined for r in dedup.boundary_conflicts(df, dedup.source_components(df)).collect()}
+    assert stored["a"] and stored["h"] and not stored["b"]  # the stored id joins a and h, and misses b
+    assert pipelines.suite_build(clustered).agg(F.sum("examples")).first()[0] == 8  # a and b, of one text, are quarantined; h is not
+
+
+def test_text_clusters_against_brute_force(spark):
+    suite = tables.table(spark, SF, "suite").select("example_id", "state").distinct().collect()
+    links, pairs = brute_near([(r.example_id, tx._decision_text(r.state) if r.state is not None else None) for r in suite])
+    want = dict(brute_components([(c or i, i) for i, (c, _) in links.items()] + list(pairs)))
+    got = {r.example_id: r.cluster_id for r in catalog.queries()["c04_text_clusters"](spark, SF).collect()}
+    assert got == {i: "dup-" + hashlib.sha256(want[i].encode()).hexdigest()[:24] for i in links}
+
+
 def test_quarantine_and_split_conflicts(spark):
     rows = [("a", "s1", "c1", "train", "train", False), ("b", "s1", "c2", "dev", "development", False), ("c", "s2", "c2", "dev", "development", False),
             ("d", "s3", "c3", "train", "train", False), ("e", None, None, None, None, True), ("f", "s4", "unclustered", None, None, None)]
