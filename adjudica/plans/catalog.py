@@ -255,6 +255,14 @@ def c01_exact_dups(spark, sf_dir):
     return rows.select(F.sha2("key", 256).alias("digest"), "first_id", "copies")
 
 
+@query()
+def c01_exact_dup_keys(spark, sf_dir):
+    """Exact duplicates by the key of B22; texts without words are none."""
+    key = F.sha2(F.nullif(tx.duplicate_key("text"), F.lit("")), 256)
+    rows = dedup.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", key)
+    return rows.withColumnRenamed("key", "digest")
+
+
 def _words(c: str):
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
 

@@ -238,6 +238,21 @@ def test_every_near_duplicate_has_a_row(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want_pairs == {(1, 2)}
 
 
+def test_exact_dups_by_key_against_brute_force(spark, tmp_path):
+    rows = [(1, "Caf\u00e9, au lait"), (2, "cafe\u0301 au  lait!"), (3, "\uff23AF\u00c9 au lait"), (4, "cafe au lait"), (5, None), (6, "..."), (7, "")]
+    made = tmp_path / "made"
+    made.mkdir()
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{made}/documents.parquet")
+    for sf in (str(made), SF):
+        keys = brute_keys([(r.doc_id, r.text) for r in tables.table(spark, sf, "documents").select("doc_id", "text").collect()])
+        same = {}
+        for i, x in keys.items():
+            same.setdefault(x, []).append(i)
+        want = {(hashlib.sha256(x.encode()).hexdigest(), min(v), len(v)) for x, v in same.items() if x and len(v) > 1}
+        assert {(r.digest, r.first_id, r.copies) for r in catalog.queries()["c01_exact_dup_keys"](spark, sf).collect()} == want
+        assert sf == SF or {x[1:] for x in want} == {(1, 3)}
+
+
 def test_near_dup_documents_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in tables.table(spark, SF, "documents").select("doc_id", "text").collect()]
     want, want_pairs = brute_near(rows)
