@@ -1,10 +1,8 @@
 """Problem 5: records of evaluation splits that recur, exactly or almost, in the training split.
 
-A sparse suffix array: of the concatenated word sequences, the suffixes that start at a record's rarest runs (its
-prefix, see ``shingle_classes``) are partitioned and sorted by their first ``k`` words, training and evaluation side
-each; merging the two sorted arrays meets the suffixes of either side whose common prefix is ``k`` words or more.
-Two records that reach the similarity share such a suffix start, so every pair is met. The shared spans of the pairs
-met are then extended and merged into the coverage of either record, and the exact similarity decides.
+A prefix-filter join as in problem 7, not a suffix array: the three-word runs at a record's rarest places (its prefix, see
+``shingle_classes``) are partitioned and sorted, training and evaluation side each, and merged. Two records that reach the
+similarity share such a run, so every pair is met, and the exact similarity decides.
 """
 
 from __future__ import annotations
