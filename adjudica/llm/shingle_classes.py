@@ -72,7 +72,7 @@ def shingle_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """``members(id, side, class)`` and ``classes(class, runs, words, name, members, train, other)``.
 
-    A class is a distinct set of ``k``-word runs (128-bit checked hash); ``name`` is its least id. Records with null
+    A class is a distinct set of ``k``-word runs (64-bit hash; ``check``, a second one, is written but not compared, so two sets whose hashes collide are taken for copies); ``name`` is its least id. Records with null
     id or text or fewer than ``least_words`` words are in no class; rows of one id and class count once.
     """
     side = F.col(side_col).cast("string") if side_col else F.lit(None).cast("string")
