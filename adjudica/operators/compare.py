@@ -58,8 +58,8 @@ def cyclic_ensemble(d: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def order_bias(d: DataFrame, groups: list[str]) -> DataFrame:
-    """By position of the options: mean probability, share of predictions at the position, flips against the reference
-    order (E26). Needs ``ids, p, prediction``."""
+    """By position of the options: mean probability and share of predictions at the position (part of E26: one order
+    only, so no flip rate and no figures between orders). Needs ``ids, p, prediction``."""
     rows = d.select(*groups, "prediction", F.posexplode(F.arrays_zip("ids", "p")).alias("position", "o"))
     return rows.groupBy(*groups, "position").agg(
         F.count(F.lit(1)).alias("shown"), F.avg("o.p").alias("mean_p"), F.avg((F.col("o.ids") == F.col("prediction")).cast("int")).alias("share")
