@@ -6,6 +6,7 @@ A batch of strings is one ``uint32`` array of code points plus row offsets. Tabl
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 from functools import cache
@@ -242,6 +243,8 @@ def visual_form(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 # ---- words ----------------------------------------------------------------------------------------------------------
 
+#: Words of more characters are hashed one by one.
+LONG_WORD = 200
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -295,7 +298,12 @@ def words(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begins[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return span_hash(prefix_hash(lower[points]), start, stop), np.searchsorted(start, offsets)
+    low = lower[points]
+    h = span_hash(prefix_hash(low), start, stop)
+    # a polynomial mod 2^64 is blind to some differences of a thousand characters and more: long words get another hash
+    for i in np.flatnonzero(stop - start > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.searchsorted(start, offsets)
 
 
 def runs_of(word: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

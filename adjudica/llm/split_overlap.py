@@ -10,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hub_join
 from ..storage import Scratch
 from . import shingle_classes as sc
 
 
 def overlapping_classes(classes: DataFrame, scratch: Scratch, k: int, least: float) -> DataFrame:
     """Verified pairs of classes ``a`` with training and ``b`` with evaluation records."""
-    index = sc.prefix_index(classes.where("train or other"), k, least, ["class", "train", "other"])
-    index = index.repartition("gram").sortWithinPartitions("gram")
+    index, _ = sc.prefix_index(classes.where("train or other"), scratch, k, least, ["class", "train", "other"], by_words=True)
+    index = sc.unpacked(index, ["class", "train", "other"]).repartition("gram").sortWithinPartitions("gram")
     a, b = index.filter("train").alias("a"), index.filter("other").alias("b")
-    on = F.expr(f"a.gram = b.gram and a.class <> b.class and {sc.sizes_allow(least)}")
-    met = a.join(b.hint("merge"), on).selectExpr(*sc.MET)
-    pairs = scratch.save(sc.counted_pairs(met, least), "candidates")
+    on = F.expr(f"a.gram = b.gram and a.class <> b.class and {sc.enough(least)}")
+    met = a.join(b.hint("merge"), on).selectExpr("a.class as a", "b.class as b")
+    pairs = scratch.save(met.distinct(), "candidates")
     return sc.verify(pairs, classes, k, least, ["runs"])
 
 
@@ -44,8 +45,10 @@ def split_overlap(
         F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"), size.alias("covered_a"), size.alias("covered_b")
     )
     near = scratch.save(near.unionByName(same), "near")
-    train = members.where("side = 'train'").select(F.col("class").alias("a"), F.col("id").alias("train_id")).distinct()
-    other = members.where("side <> 'train'").select(F.col("class").alias("b"), F.col("id").alias("eval_id")).distinct()
+    facts = scratch.save(classes.select("u", "class", F.col("members").alias("n")), "facts")
+    numbered = hub_join(members, facts, "u", facts.agg(F.sum("n")).first()[0] or 0)
+    train = numbered.where("side = 'train'").select(F.col("class").alias("a"), F.col("id").alias("train_id")).distinct()
+    other = numbered.where("side <> 'train'").select(F.col("class").alias("b"), F.col("id").alias("eval_id")).distinct()
     out = near.join(train, "a").join(other, "b").where("train_id <> eval_id")
     return out.select(
         "train_id", "eval_id", "similarity", F.col("covered_a").alias("train_covered"), F.col("covered_b").alias("eval_covered")

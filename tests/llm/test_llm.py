@@ -192,14 +192,54 @@ def test_random_edits_are_all_found(spark):
             for _ in range(j):
                 x[rng.randrange(len(x))] = rng.choice(vocabulary)
             data.append((f"{i:03d}-{j}", " ".join(x)))
-    got = set(rows(near_groups.near_groups(frame(spark, data)).where("group_id <> member"), "group_id", "member"))
+    want = brute.p7(data)
+    for how in ({}, {"hot": 2}, {"slots": (1 << 4, 1 << 4)}, {"hot": 3, "slots": (1 << 4, 1 << 4)}):  # leaders of hot columns; exact counts by a shuffle
+        got = set(rows(near_groups.near_groups(frame(spark, data), **how).where("group_id <> member"), "group_id", "member"))
+        assert got == want, how
+
+
+def test_near_copies_of_one_text_make_no_pairs(spark, monkeypatch):
+    """A third of all records near copies of one another: links to a leader, candidates in proportion to the records."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    data = []
+    for i in range(600):
+        x = list(base)
+        x[rng.randrange(60)] = f"own{i}"
+        data.append((f"{i:04d}", " ".join(x) if i % 3 == 0 else " ".join(f"r{rng.randrange(9999)}" for _ in range(40))))
+    met = []
+    verify = shingle_classes.verify
+    monkeypatch.setattr(shingle_classes, "verify", lambda pairs, *a: met.append(pairs.count()) or verify(pairs, *a))
+    got = set(rows(near_groups.near_groups(frame(spark, data), hot=20).where("group_id <> member"), "group_id", "member"))
     assert got == brute.p7(data)
+    assert sum(met) < 40 * 200  # of 19,900 pairs of near copies
+
+
+def test_joined_rows_grow_with_the_records(spark):
+    size = []
+    for sf in ("0.01", "0.1"):
+        scratch = shingle_classes.Scratch(spark, "growth")
+        suite_ = spark.read.parquet(f"/root/testdata/sf{sf}/suite.parquet")
+        _, classes = shingle_classes.shingle_classes(suite_, scratch, "example_id", "state")
+        index, _ = shingle_classes.prefix_index(classes, scratch, 3, 0.7, ["class"])
+        rows_ = shingle_classes.unpacked(index, ["class"])
+        on = F.expr(f"a.gram = b.gram and (a.n < b.n or a.n = b.n and a.class < b.class) and {shingle_classes.enough(0.7)}")
+        size.append((rows_.alias("a").join(rows_.alias("b"), on).selectExpr("a.class as a", "b.class as b").distinct().count(), classes.count()))
+    (few, m), (many, n) = size
+    assert many / few < 3 * n / m, size
+
+
+def test_long_words_differ_where_a_polynomial_does_not():
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    b = "".join("ba"[bin(i).count("1") & 1] for i in range(2048))
+    word, at = cp.words(*cp.decode(pa.array([a, b, a])))
+    assert at.tolist() == [0, 1, 2, 3] and word[0] == word[2] != word[1]
 
 
 def test_run_counts_add_up(spark):
     lists = [[1, 2, 3, 4, 5, 6, 7, 8, i] for i in range(50)]
     df = spark.createDataFrame([(x, 7) for x in lists], "words array<long>, runs int").repartition(30)
-    total = shingle_classes.run_counts(df, 3, fan_in=3)
+    total = shingle_classes.run_counts(df, 3, 1 << 18, fan_in=3)
     assert total.sum() == 50 * 7 and total.max() >= 50
 
 
