@@ -51,9 +51,28 @@ def control_arm(d: DataFrame, seed: str = "control") -> DataFrame:
     n = d.agg(F.count_if("agree").alias("a"), F.count_if(~F.col("agree")).alias("b")).first()
     size = min(n.a, max(10, n.b // 2))
     h = F.sha2(F.concat_ws("\x00", F.lit(seed), "example_id", "question_id"), 256)
-    control = d.where("agree").orderBy(h, "example_id", "question_id").limit(size)
-    cols = ["example_id", "question_id"]
-    return d.where("not agree").select(*cols, F.lit("disagree").alias("arm")).unionByName(control.select(*cols, F.lit("control").alias("arm")))
+    agree = d.where("agree").select(*KEY, F.lit(0).alias("all"), h.alias("_h"))
+    control = ranked(agree, ["all"], ["_h", *KEY]).where(F.col("rank") <= size)  # by range partitions where one task is too few
+    return d.where("not agree").select(*KEY, F.lit("disagree").alias("arm")).unionByName(control.select(*KEY, F.lit("control").alias("arm")))
+
+
+def review_audit(arms: DataFrame, verdicts: DataFrame, most: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """``(quarantined, summary)`` of a review (E31). ``verdicts(*KEY, disputed)`` are the reviewer's on rows of ``control_arm``; one
+    not given is no dispute, and one row's several verdicts dispute if any does. If the reviewer disputes more than ``most`` of
+    the control arm it is unreliable and every quarantine is discarded. Summary: ``control, control_disputes, dispute_rate,
+    control_passed, disagreements, quarantined``; a rate without a control arm is 0."""
+    said = verdicts.groupBy(*KEY).agg(F.max(F.coalesce("disputed", F.lit(False))).alias("disputed"))
+    rows = arms.join(said, KEY, "left").withColumn("disputed", F.coalesce("disputed", F.lit(False)))
+    control = F.col("arm") == "control"
+    s = rows.agg(
+        F.count_if(control).alias("control"), F.count_if(control & F.col("disputed")).alias("control_disputes"),
+        F.count_if(~control).alias("disagreements"), F.count_if(~control & F.col("disputed")).alias("asked"),
+    )
+    rate = F.coalesce(F.try_divide("control_disputes", "control"), F.lit(0.0))
+    s = s.withColumn("dispute_rate", rate).withColumn("control_passed", rate <= most)
+    s = s.withColumn("quarantined", F.when(F.col("control_passed"), F.col("asked")).otherwise(0)).drop("asked")
+    bad = rows.where(~control & F.col("disputed")).select(*KEY).join(F.broadcast(s.where("control_passed").select("control_passed")))
+    return bad.select(*KEY), s
 
 
 def failure_slices(d: DataFrame, first: int = 10) -> DataFrame:

@@ -115,7 +115,7 @@ _ARMS = f"""{O}, arms as (select *, list_transform(z, lambda x: round(x * 8) / 8
                list_transform(zm, lambda x: exp(x - list_max(zm))) as em from e)"""
 
 
-@query(f"""with {_ARMS} select example_id, question_id, ids[list_position(em, list_max(em))] as selected, round(list_max(em) / list_sum(em), 6) as confidence,
+@query(f"""with {_ARMS} select example_id, question_id, 'compared' as status, ids[list_position(em, list_max(em))] as selected, round(list_max(em) / list_sum(em), 6) as confidence,
              round(list_max(list_transform(range(1, len(p1) + 1), lambda i: abs(p1[i] - p2[i]))), 6) as discrepancy
            from q where primitive = 'choice'""")
 def b09_cyclic_ensemble(spark, sf_dir):
@@ -317,9 +317,9 @@ def c06_quarantine(spark, sf_dir):
     return out.groupBy("quarantined").agg(F.count(F.lit(1)).alias("examples"), F.count_distinct("component").alias("components"))
 
 
-@query(f"""with {_COMPONENTS}, r as (select distinct example_id, evaluation_split as e, task_template_holdout as h from suite),
-           g as (select component, count(distinct coalesce(e, '')) as k, max(e) as x, min(h) as h0, max(h) as h1 from r join m using (example_id) group by 1),
-           f as (select component, coalesce(k > 1 or h0 <> h1 or (x is not null and h1 and x <> 'task_holdout'), false) as conflict, x, h1,
+@query(f"""with {_COMPONENTS}, r as (select distinct example_id, evaluation_split as e, task_template_holdout as h, case when public_source is not null then coalesce(public_source.upstream_split, '') end as u from suite),
+           g as (select component, count(distinct coalesce(e, '')) as k, count(distinct u) as us, max(e) as x, min(h) as h0, max(h) as h1 from r join m using (example_id) group by 1),
+           f as (select component, coalesce(k > 1 or us > 1 or h0 <> h1 or (x is not null and h1 and x <> 'task_holdout'), false) as conflict, x, h1,
                  cast(cast('0x' || substring(sha256('seed' || chr(0) || component), 1, 16) as ubigint) % 100 as integer) as b from g)
            select example_id, component, conflict, case when conflict then null when x is not null then x when h1 then 'task_holdout'
              when b < 60 then 'train' when b < 75 then 'development' when b < 85 then 'calibration' else 'locked_test' end as split from m join f using (component)""")
@@ -579,13 +579,13 @@ def e21_latency(spark, sf_dir):
 
 
 @query(f"""with {D}, x as (select {G}, inference_ms as a, request_total_ms as b from d where inference_ms >= 0 and request_total_ms >= 0 and not isnan(inference_ms) and not isnan(request_total_ms) and request_total_ms < 'infinity'::double and inference_ms < 'infinity'::double)
-           select {G}, round(case when median(a) = 0 then null else median(b) / median(a) end, 6) as speedup from x group by all""")
+           select {G}, round(case when median(a) = 0 then 'infinity'::double else median(b) / median(a) end, 6) as speedup,
+             coalesce(median(b) / nullif(median(a), 0), 'infinity'::double) >= 2 and list_sort(list(a))[1 + cast(floor(0.95::double * (count(*) - 1)) as bigint)] <= 2000 as gate_passed from x group by all""")
 def e22_speedup(spark, sf_dir):
     d = decisions(spark, sf_dir, "workload_id", "primitive", "inference_ms", "request_total_ms")
     d = d.where("inference_ms >= 0 and inference_ms < double('infinity') and request_total_ms >= 0 and request_total_ms < double('infinity')")
-    a = metrics.latency(d, "inference_ms").select("workload_id", "primitive", F.col("median").alias("a"))
-    b = metrics.latency(d, "request_total_ms").select("workload_id", "primitive", F.col("median").alias("b"))
-    return rounded(a.join(b, ["workload_id", "primitive"]).select("workload_id", "primitive", F.try_divide("b", "a").alias("speedup")), "speedup")
+    a, b = metrics.latency(d, "inference_ms"), metrics.latency(d, "request_total_ms")
+    return rounded(compare.speed_gate(a, b, ["workload_id", "primitive"]), "speedup")
 
 
 _EQ = f"""{_ARMS}, eq as (select workload_id, list_position(p1, list_max(p1)) = list_position(p2, list_max(p2)) as agrees,
@@ -594,13 +594,40 @@ _EQ = f"""{_ARMS}, eq as (select workload_id, list_position(p1, list_max(p1)) =
 
 
 @query(f"""with {_EQ} select workload_id, count(*) as compared, count(*) filter (agrees) as agreements, round(max(dev), 6) as deviation, count(*) filter (flip) as flips,
-             count(*) filter (tie) as tie_band, count(*) = count(*) filter (agrees) and max(dev) <= 0.01 and count(*) filter (flip) = 0 as gate_passed from eq group by rollup (workload_id)""")
+             count(*) filter (tie) as tie_band, 0 as only_a, 0 as only_b, 0 as labels_differ, count(*) = count(*) filter (agrees) and max(dev) <= 0.01 and count(*) filter (flip) = 0 as gate_passed from eq group by rollup (workload_id)""")
 def e25_equivalence_rollup(spark, sf_dir):
     d = ds.with_options(decisions(spark, sf_dir, "workload_id", "answer")).select(*KEY, "workload_id", "ids", "z")
     rows = compare.equivalence_rows(compare.paired(d, second_arm(d))).withColumnRenamed("workload_id_a", "workload_id")
     return rounded(compare.equivalence_summary(rows, "workload_id"), "deviation")
 
 
+def diverging(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two arms that do not hold the same: of the second, decisions predicted ``false`` are missing, those predicted ``true``
+    have another first option, and every decision of a score stands under a new question too."""
+    d = ds.with_options(decisions(spark, sf_dir, "workload_id", "primitive", "prediction", "answer"))
+    b = second_arm(d).where("coalesce(prediction, '') <> 'false'")
+    renamed = F.concat(F.array(F.concat(F.lit("new-"), F.col("ids")[0])), F.slice("ids", 2, 1000))
+    b = b.withColumn("ids", F.when(F.col("prediction") == "true", renamed).otherwise(F.col("ids")))
+    more = b.where("primitive = 'score'").withColumn("question_id", F.concat("question_id", F.lit("-new")))
+    cols = [*KEY, "workload_id", "ids", "z"]
+    return d.select(*cols), b.select(*cols).unionByName(more.select(*cols))
+
+
+@query(f"""with {_ARMS}, r as (
+             select example_id, question_id, workload_id, case when prediction = 'false' then 'only_a' when prediction = 'true' then 'labels_differ' else 'compared' end as status,
+               list_position(p1, list_max(p1)) = list_position(p2, list_max(p2)) as agrees, list_max(list_transform(range(1, len(p1) + 1), lambda i: abs(p1[i] - p2[i]))) as dev,
+               (list_max(p1) >= 0.9) <> (list_max(p2) >= 0.9) as flip, list_reverse_sort(z)[1] - list_reverse_sort(z)[2] <= 2.8 as tie from q
+             union all select example_id, question_id || '-new', workload_id, 'only_b', null, null, null, null from q where primitive = 'score' and coalesce(prediction, '') <> 'false')
+           select workload_id, count(*) filter (status = 'compared') as compared, count(*) filter (status = 'compared' and agrees) as agreements,
+             round(max(dev) filter (status = 'compared'), 6) as deviation, count(*) filter (status = 'compared' and flip) as flips, count(*) filter (status = 'compared' and tie) as tie_band,
+             count(*) filter (status = 'only_a') as only_a, count(*) filter (status = 'only_b') as only_b, count(*) filter (status = 'labels_differ') as labels_differ,
+             count(*) filter (status <> 'compared') = 0 and bool_and(agrees) and max(dev) <= 0.01 and not bool_or(flip) as gate_passed from r group by rollup (workload_id)""")
+def e25_equivalence_divergent(spark, sf_dir):
+    """Arms of which one lacks decisions, has others, and has other options: counted, and the gate fails."""
+    rows = compare.equivalence_rows(compare.paired(*diverging(spark, sf_dir))).withColumnRenamed("workload_id_a", "workload_id")
+    return rounded(compare.equivalence_summary(rows, "workload_id"), "deviation")
+
+
 @query(f"""with {O}, x as (select workload_id, prediction, unnest(ids) as i, unnest(p) as v, unnest(range(0, len(ids))) as position from o where primitive = 'choice')
            select workload_id, cast(position as integer) as position, count(*) as shown, round(avg(v), 6) as mean_p, round(avg((i = prediction)::int), 6) as share from x group by all""")
 def e26_order_bias(spark, sf_dir):

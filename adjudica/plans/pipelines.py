@@ -189,12 +189,12 @@ def e23_paired_gates(spark, sf_dir):
     return rounded(out, "f1_a", "f1_b", "difference")
 
 
-@query(f"""with {_ARMS} select example_id, question_id, list_position(p1, list_max(p1)) = list_position(p2, list_max(p2)) as argmax_agrees,
+@query(f"""with {_ARMS} select example_id, question_id, 'compared' as status, list_position(p1, list_max(p1)) = list_position(p2, list_max(p2)) as argmax_agrees,
              round(list_max(list_transform(range(1, len(p1) + 1), lambda i: abs(p1[i] - p2[i]))), 6) as deviation, (list_max(p1) >= 0.9) <> (list_max(p2) >= 0.9) as policy_flip from q""")
 def d03_response_pairs(spark, sf_dir):
     d = ds.with_options(decisions(spark, sf_dir, "workload_id", "answer")).select(*KEY, "workload_id", "ids", "z")
     rows = compare.equivalence_rows(compare.paired(d, second_arm(d)))
-    return rounded(rows.select(*KEY, "argmax_agrees", "deviation", "policy_flip"), "deviation")
+    return rounded(rows.select(*KEY, "status", "argmax_agrees", "deviation", "policy_flip"), "deviation")
 
 
 @query("""with l as (select * from shadow_log qualify row_number() over (partition by request_id order by received_at) = 1),

@@ -384,3 +384,48 @@ def test_incremental_is_idempotent(spark, tmp_path):
         shadow.incremental(s, str(tmp_path / "t"), ["request_id"], str(tmp_path / f"c{k}"), lambda df: seen.append(df.count())).awaitTermination()
     assert set(seen) == {log.select("request_id").distinct().count()}
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def arms(spark):
+    cols = "example_id string, question_id string, workload_id string, ids array<string>, z array<double>"
+    a = [(e, "q", "w", ["a", "b"], [2.0, 0.0]) for e in ("e1", "e2", "e3")]
+    b = [("e1", "q", "w", ["a", "b"], [2.0, 0.0]), ("e2", "q", "w", ["a", "c"], [2.0, 0.0]), ("e4", "q", "w", ["a", "b"], [2.0, 0.0])]
+    return spark.createDataFrame(a, cols), spark.createDataFrame(b, cols)
+
+
+def test_equivalence_counts_what_it_cannot_compare(spark):
+    pairs = compare.paired(*arms(spark))
+    out = compare.equivalence_summary(compare.equivalence_rows(pairs), "workload_id_a").where("workload_id_a is null").first()
+    assert (out.compared, out.agreements, out.only_a, out.only_b, out.labels_differ, out.gate_passed) == (1, 1, 1, 1, 1, False)
+    with pytest.raises(Exception, match="arms cannot be compared"):
+        compare.equivalence_rows(pairs, strict=True).collect()
+    with pytest.raises(Exception, match="arms cannot be compared"):
+        compare.cyclic_ensemble(*arms(spark), strict=True).collect()
+    assert {r.example_id: r.status for r in compare.cyclic_ensemble(*arms(spark)).collect()} == {"e1": "compared", "e2": "labels_differ", "e3": "only_a", "e4": "only_b"}
+    none = compare.equivalence_summary(compare.equivalence_rows(pairs.limit(0)), "workload_id_a")
+    assert not any(r.gate_passed for r in none.collect())
+
+
+def test_speed_gate(spark):
+    rows = lambda x: spark.createDataFrame(x, "g string, median double, p95 double")
+    a, b = rows([("zero", 0.0, 1.0), ("slow", 10.0, 2001.0), ("good", 10.0, 2000.0), ("alone", 1.0, 1.0)]), rows([("zero", 5.0, 9.0), ("slow", 30.0, 9.0), ("good", 20.0, 9.0)])
+    got = {r.g: (r.speedup, r.gate_passed) for r in compare.speed_gate(a, b, ["g"]).collect()}
+    assert got == {"zero": (float("inf"), True), "slow": (3.0, False), "good": (2.0, True), "alone": (None, False)}
+
+
+def test_bound_of_many_errors():
+    assert upper_bound(10**7, 2 * 10**8) == pytest.approx(0.05 + 1.645 * (0.05 * 0.95 / (2 * 10**8)) ** 0.5, rel=1e-6)
+    assert upper_bound(1, 10**9) == pytest.approx(4.7438645e-9, rel=1e-6)
+
+
+def test_review_audit(spark):
+    d = [(f"e{i:03d}", "q", "yes", "no" if i < 10 else "yes") for i in range(60)]
+    arms_ = monitor.control_arm(spark.createDataFrame(d, "example_id string, question_id string, reference string, prediction string"))
+    control = sorted(r.example_id for r in arms_.where("arm = 'control'").collect())
+    assert len(control) == 10
+    for disputes, passed in ((1, True), (2, False)):
+        said = [("e001", "q", True), ("e002", "q", False), ("e003", "q", None)] + [(c, "q", True) for c in control[:disputes]]
+        bad, summary = monitor.review_audit(arms_, spark.createDataFrame(said, "example_id string, question_id string, disputed boolean"))
+        s = summary.first()
+        assert (s.control, s.control_disputes, s.dispute_rate, s.control_passed, s.disagreements, s.quarantined) == (10, disputes, disputes / 10, passed, 10, int(passed))
+        assert [r.example_id for r in bad.collect()] == (["e001"] if passed else [])
