@@ -61,13 +61,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps with the training split, counted per evaluation split and source."""
+    """Overlaps with the training split per evaluation split and source: records, their training partners (by class of equal
+    run sets), and the greatest share of a record's runs that training records hold between them."""
     suite = table(spark, sf_dir, "suite")
-    facts = suite.where("evaluation_split <> 'train'").select(F.col("example_id").alias("eval_id"), "evaluation_split", "source_group_id").distinct()
-    found = split_overlap.split_overlap(suite).join(facts, "eval_id")
-    return found.groupBy("evaluation_split", "source_group_id").agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_distinct("eval_id").alias("examples"), F.max("eval_covered").alias("most_words_covered")
-    )
+    sources = suite.where("evaluation_split <> 'train'").select(F.col("example_id").alias("eval_id"), F.col("evaluation_split").alias("side"), "source_group_id").distinct()
+    found = split_overlap.eval_coverage(suite).join(sources, ["eval_id", "side"])
+    return found.groupBy(F.col("side").alias("evaluation_split"), "source_group_id").agg(
+        F.count_distinct("eval_id").alias("examples"), F.sum("partners").alias("partners"), F.max("most_similar").alias("most_similar"),
+        F.max(F.col("covered") / F.col("runs")).alias("most_covered"),
+    )
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

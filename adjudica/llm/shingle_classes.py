@@ -286,7 +286,7 @@ def _overlap(k: int) -> Callable:
             for lo in range(0, len(b), _ROWS // 8):
                 part = b.slice(lo, _ROWS // 8)
                 names, n = part.schema.names, len(part)
-                found, sizes, covers = [], [], []
+                found, sizes = [], []
                 for c in ("words_a", "words_b"):
                     lists = part.column(names.index(c))
                     h, row, at = cp.runs_of(lists.flatten().to_numpy().view(np.uint64), _list_offsets(lists), k)
@@ -298,25 +298,38 @@ def _overlap(k: int) -> Callable:
                 inter = np.bincount(found[0][1][uniq[0][1][hit]], minlength=n)
                 for (h, row, at), x, (u, i) in zip(found, both, uniq):
                     sizes.append(np.bincount(row[i], minlength=n))
-                    # words under a shared run: spans merge where they overlap
-                    s = np.flatnonzero(np.isin(x, shared))
-                    gap = np.full(len(s), k)
-                    same = row[s[1:]] == row[s[:-1]]
-                    gap[1:][same] = np.minimum(k, at[s[1:]] - at[s[:-1]])[same]
-                    covers.append(np.bincount(row[s], weights=gap, minlength=n).astype(np.int32))
                 union = sizes[0] + sizes[1] - inter
                 rest = [c for c in names if not c.startswith("words_")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(inter / np.maximum(union, 1)), pa.array(covers[0]), pa.array(covers[1]), *(part.column(names.index(c)) for c in rest)],
-                    ["similarity", "covered_a", "covered_b", *rest],
+                    [pa.array(inter / np.maximum(union, 1)), *(part.column(names.index(c)) for c in rest)], ["similarity", *rest]
                 )
 
     return run
 
 
+def shared_runs(k: int) -> Callable:
+    """``(b, run)`` of rows ``(b, words_a, words_b)``: the distinct runs of the second list that the first has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), _ROWS // 8):
+                part = b.slice(lo, _ROWS // 8)
+                keyed, runs, rows = [], [], []
+                for i in (1, 2):
+                    lists = part.column(i)
+                    h, row, _ = cp.runs_of(lists.flatten().to_numpy().view(np.uint64), _list_offsets(lists), k)
+                    keyed.append(cp.mix(h ^ cp.mix(row.astype(np.uint64) + np.uint64(99))))
+                    runs.append(h)
+                    rows.append(row)
+                _, at = np.unique(keyed[1], return_index=True)
+                at = at[np.isin(keyed[1][at], keyed[0])]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[1][at])), pa.array(runs[1][at].view(np.int64))], ["b", "run"])
+
+    return run
+
+
 def verify(pairs: DataFrame, classes: DataFrame, k: int, least: float, keep: list[str]) -> DataFrame:
-    """Pairs ``(a, b)`` of numbers of classes, of similarity ``least`` or more, exactly: with similarity, words of either side under
-    shared runs, and ``keep`` of both sides as ``<c>_a, <c>_b``."""
+    """Pairs ``(a, b)`` of numbers of classes, of similarity ``least`` or more, exactly: with similarity and ``keep`` of both sides as ``<c>_a, <c>_b``."""
     met = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     few = met.limit(MOST_MET + 1).count() <= MOST_MET
     classes = classes.join(F.broadcast(met) if few else met, "class", "left_semi")  # else by shuffle
@@ -325,4 +338,4 @@ def verify(pairs: DataFrame, classes: DataFrame, k: int, least: float, keep: lis
         pairs = pairs.join(side, s)
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     rest = ", ".join(f"`{c}` {t}" for c, t in kinds.items() if not c.startswith("words_"))
-    return pairs.mapInArrow(_overlap(k), f"similarity double, covered_a int, covered_b int, {rest}").filter(F.col("similarity") >= least)
+    return pairs.mapInArrow(_overlap(k), f"similarity double, {rest}").filter(F.col("similarity") >= least)

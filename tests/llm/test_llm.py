@@ -181,6 +181,31 @@ def test_split_overlap_edges(spark):
     assert split_overlap.split_overlap(df.limit(0)).count() == 0
 
 
+def test_split_overlap_ways_agree_and_coverage_is_merged(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(80)]
+    data = []
+    for i in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(12, 50))]
+        for j in range(5):
+            x = list(base)
+            for _ in range(j // 2):
+                x[rng.randrange(len(x))] = rng.choice(vocabulary)
+            data.append((f"{i:02d}-{j}", " ".join(x), rng.choice(["train", "train", "development", "locked_test"])))
+    df = frame(spark, data, "example_id string, state string, evaluation_split string")
+    side = {i: s for i, _, s in data}
+    want = {p for p in brute.similar([x[:2] for x in data]) if (side[p[0]] == "train") != (side[p[1]] == "train")}
+    for how in ({}, {"hot": 2}, {"slots": (1 << 4, 1 << 4)}):
+        got = {(min(r.train_id, r.eval_id), max(r.train_id, r.eval_id)) for r in split_overlap.split_overlap(df, **how).collect()}
+        assert got == want, how
+    text = {i: s.split() for i, s, _ in data}
+    runs = lambda i: {tuple(text[i][k : k + 3]) for k in range(len(text[i]) - 2)}
+    for r in split_overlap.eval_coverage(df).collect():
+        partners = {a if b == r.eval_id else b for a, b in want if r.eval_id in (a, b)}
+        assert r.side == side[r.eval_id] and r.partners == len(partners) and r.runs == len(runs(r.eval_id))
+        assert r.covered == len(runs(r.eval_id) & set().union(*(runs(p) for p in partners)))
+
+
 def test_random_edits_are_all_found(spark):
     rng = random.Random(7)
     vocabulary = [f"v{i}" for i in range(60)]
