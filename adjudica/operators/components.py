@@ -11,7 +11,7 @@ join (``skew.hub_join``): no task receives a hub's whole neighbourhood.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import Scratch
@@ -31,14 +31,17 @@ def connected_components(
     scratch = Scratch(spark, "components")
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     pairs = scratch.save(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    edges, last = pairs.filter("u > v"), None
+    edges = pairs.filter("u > v")
     for k in range(max_rounds):
         # large star: every node hands its greater neighbours to the least node it knows
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         known = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        known = scratch.save(known, f"known{k}")
-        total = known.agg(F.sum("n").alias("s")).first().s
-        if not total:
+        seen = Observation(f"known{k}")  # counted while the table is written
+        known = scratch.save(known.observe(seen, F.sum("n").alias("total"), F.count_if(F.expr("m <> u and n > 1")).alias("chained")), f"known{k}")
+        total = seen.get["total"]
+        # done when every node is the least it knows or knows one other only: all are stars about their least
+        if not total or not seen.get["chained"]:
+            scratch.drop(f"known{k}")
             break
         large = (
             hub_join(both, known, "u", total, hub_share)
@@ -60,15 +63,8 @@ def connected_components(
         edges = scratch.save(small, f"edges{k}")
         scratch.drop(f"known{k}")
         scratch.drop(f"large{k}")
-        # done when every node has one link and no link's lower end has one of its own: all are stars about their least
-        degree = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        chained = edges.join(degree.select(F.col("u").alias("v")), "v", "left_semi").select("u")
-        unfinished = chained.unionByName(degree.filter("n > 1").select("u")).take(1)
-        if last is not None:
-            scratch.drop(last)
-        last = f"edges{k}"
-        if not unfinished:
-            break
+        if k:
+            scratch.drop(f"edges{k - 1}")
     else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
     roots = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
