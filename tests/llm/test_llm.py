@@ -384,6 +384,35 @@ def test_many_texts_around_one_anchor(spark):
         assert set(rows(shared_spans.shared_spans(df, hot=hot), "doc", "shared_chars")) == want
 
 
+def test_repeats_and_hash_collisions(spark):
+    thue = lambda a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(2048))
+    head, tail, unit = spans(100, 21), spans(100, 22), spans(37, 23)
+    docs = [(1, head + thue("x", "y") + tail), (2, head + thue("y", "x") + tail), (3, "-" * 700 + spans(50, 24)), (4, spans(60, 25) + "-" * 401 + spans(60, 26)),
+            (5, unit * 20), (6, spans(80, 27) + (unit * 12)[5:] + spans(80, 28)), (7, (unit * 11)[:400]), (8, spans(300, 29) + "\n" * 250 + spans(300, 30)), (9, spans(30, 31) + "\n" * 250 + spans(300, 30))]
+    want = brute.p10(docs)
+    for how in ({}, {"most_bits": 16}, {"hot": 1}):
+        assert set(rows(shared_spans.shared_spans(frame(spark, docs, "doc_id long, text string"), **how), "doc", "shared_chars")) == want, how
+    long = [(1, "a" * 100_000), (2, "a" * 100_000 + "b"), (3, "ab" * 50_000), (4, "c" + "ba" * 30_000)]
+    points, offsets = cp.decode(pa.array([t for _, t in long]))
+    h, _, _, (_, start, _) = shared_spans.anchors(points, offsets, 400)
+    assert len(h) + len(start) < 30  # not one for every character
+    got = dict(rows(shared_spans.shared_spans(frame(spark, long, "doc_id long, text string")), "doc", "shared_chars"))
+    assert got == {1: 100_000, 2: 100_000, 3: 100_000, 4: 60_000}
+
+
+def test_short_windows_with_many_ties(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(80):
+        t = ""
+        while len(t) < 60:
+            t += rng.choice("abc") * rng.randrange(1, 22) if rng.random() < 0.4 else rng.choice(["ab", "cab", "abcab"]) * rng.randrange(1, 8) if rng.random() < 0.5 else "".join(rng.choice("defghijklm") for _ in range(9))
+        docs.append((i, t))
+    covered = lambda t, others: {k for i in range(len(t) - 15) if any(t[i : i + 16] in o for o in others) for k in range(i, i + 16)}
+    want = {(i, len(c)) for i, t in docs if (c := covered(t, [o for j, o in docs if j != i]))}
+    assert set(rows(shared_spans.shared_spans(frame(spark, docs, "doc_id long, text string"), length=16), "doc", "shared_chars")) == want
+
+
 def test_bad_utf8_is_replaced():
     bad = pa.Array.from_buffers(pa.string(), 2, [None, pa.py_buffer(np.array([0, 3, 5], np.int32)), pa.py_buffer(b"a\xffbok")])
     points, offsets = cp.decode(bad)
