@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as ds
 from ..functions import text as tx
 from ..functions.binomial import error_bound
-from ..operators import calibrate, compare, dedup, metrics, monitor, report, selective
+from ..operators import answers, calibrate, compare, dedup, metrics, monitor, report, selective
 from .tables import D, O, S, decisions, examples, profiles, second_arm, table
 
 FLAGSHIP = "e02_classification"
@@ -48,6 +48,19 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY = ["example_id", "question_id"]
 G = "workload_id, primitive"
 
+def _bound(source: str, key: str) -> str:
+    """CTE ``bound(key, bound)`` of ``source(key, accepted, errors)``: the Clopper-Pearson limit, bisected over the CDF."""
+    cdf = (
+        "list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)"
+        " + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))))"
+    )
+    return f"""bis as (select {key}, accepted as n, errors as k, 0 as step, errors / accepted::double as lo, 1.0::double as hi from {source} where errors > 0 and errors < accepted
+        union all select {key}, n, k, step + 1, case when above then mid else lo end, case when above then hi else mid end
+        from (select *, (lo + hi) / 2 as mid, {cdf} > 0.05 as above from bis where step < 45)),
+      bound as (select {key}, case when accepted <= 0 or errors >= accepted then 1 when errors = 0 then 1 - pow(0.05::double, 1 / accepted::double) else (lo + hi) / 2 end as bound
+        from {source} left join (select * from bis where step = 45) using ({key}))"""
+
+
 # ---- sources and predicates -----------------------------------------------------------------------------------------
 
 
@@ -138,15 +151,27 @@ def b10_null_prior(spark, sf_dir):
     return rounded(d.select(*KEY, F.array_max(ds.softmax(ds.without_prior(F.col("z"), F.col("pz"), 0.5))).alias("top")), "top")
 
 
-@query(f"""with {O}, m as (select *, 1 - coalesce(answer.probabilities['rest'], 0) as mass from o where primitive = 'choice')
-           select workload_id, count(*) as n, round(min(mass), 6) as least, round(avg(mass), 4) as mean, count(*) filter (mass < 0.9) as below from m group by 1""")
+def with_mass(spark, sf_dir) -> DataFrame:
+    """Choices with the mass of the labels other than the catch-all ``rest``; not measured (null) where there is none."""
+    d = ds.with_options(decisions(spark, sf_dir, "workload_id", "primitive", "answer").where("primitive = 'choice'"))
+    mass = answers.label_mass(F.col("ids"), F.col("z"), F.array_except("ids", F.array(F.lit("rest"))))
+    return d.select(*KEY, "workload_id", F.when(F.array_contains("ids", "rest"), mass).alias("mass"))
+
+
+_MASS = f"""{O}, v as (select example_id, question_id, workload_id, unnest(ids) as i, unnest(z) as z from z where primitive = 'choice'),
+  m as (select example_id, question_id, any_value(workload_id) as workload_id,
+          case when count(*) filter (i = 'rest') > 0 then coalesce(sum(exp(z)) filter (i <> 'rest'), 0) / sum(exp(z)) end as mass from v group by 1, 2)"""
+
+
+@query(f"""with {_MASS} select example_id, question_id, round(mass, 6) as mass from m""")
+def b11_label_mass(spark, sf_dir):
+    return rounded(with_mass(spark, sf_dir).select(*KEY, "mass"), "mass")
+
+
+@query(f"""with {_MASS} select workload_id, count(*) as n, count(*) filter (mass is null) as missing, count(*) filter (mass < 0.9) as below, round(min(mass), 6) as least_mass,
+             round(avg(mass), 4) as mean_mass, count(*) filter (mass is null or mass < 0.9) = 0 as gate_passed from m group by 1""")
 def b12_label_mass(spark, sf_dir):
-    """Mass of the labels other than the catch-all, and how many decisions fall under the gate."""
-    d = decisions(spark, sf_dir, "workload_id", "primitive", "answer").where("primitive = 'choice'")
-    mass = 1 - F.coalesce(F.col("answer.probabilities")["rest"], F.lit(0.0))
-    d = d.select("workload_id", mass.alias("m"))
-    out = d.groupBy("workload_id").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least"), F.avg("m").alias("mean"), F.count_if(F.col("m") < 0.9).alias("below"))
-    return rounded(out, "least").withColumn("mean", F.round("mean", 4))
+    return rounded(answers.label_mass_gate(with_mass(spark, sf_dir), "mass", ["workload_id"]), "least_mass").withColumn("mean_mass", F.round("mean_mass", 4))
 
 
 _JOINED = f"""{O}, j as (select o.*, f.profile_id, f.policy, list_reverse_sort(p) as r from o left join calibration_profile f
@@ -169,30 +194,80 @@ def b13_acceptance(spark, sf_dir):
     return out.groupBy("workload_id", "primitive", "disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select profile_id, coalesce(metrics.gate_ece_passed and metrics.ece between 0 and 0.05 and metrics.coverage between 0.5 and 1
+_EVIDENCE = f"""r as (select profile_id, metrics.errors_in_accepted as errors, metrics.accepted_count as accepted from calibration_profile), {_bound("r", "profile_id")},
+  evidence as (select profile_id, coalesce(metrics.gate_ece_passed and metrics.ece between 0 and 0.05 and metrics.coverage between 0.5 and 1
              and metrics.errors_in_accepted between 0 and metrics.accepted_count and metrics.accepted_count between 59 and metrics.sample_count
-             and metrics.accepted_count / metrics.sample_count >= 0.5 and metrics.accepted_error_rate <= 0.05, false) as plausible from calibration_profile""")
+             and metrics.accepted_count / metrics.sample_count >= 0.5 and bound <= 0.05, false) as plausible from calibration_profile join bound using (profile_id))"""
+
+
+@query(f"""with recursive {_EVIDENCE} select profile_id, plausible from evidence""")
 def b15_profile_evidence(spark, sf_dir):
-    """The conjuncts of the evidence check that the shortened metrics hold; the recomputed bound is in e14."""
-    m = "metrics."
-    ok = F.expr(
-        f"{m}gate_ece_passed and {m}ece between 0 and 0.05 and {m}coverage between 0.5 and 1 and {m}errors_in_accepted between 0 and {m}accepted_count"
-        f" and {m}accepted_count between 59 and {m}sample_count and {m}accepted_count / {m}sample_count >= 0.5 and {m}accepted_error_rate <= 0.05"
-    )
-    return profiles(spark, sf_dir).select("profile_id", F.coalesce(ok, F.lit(False)).alias("plausible"))
+    """The conjuncts whose fields the shortened metrics hold, with the bound computed anew from the counts."""
+    f = profiles(spark, sf_dir)
+    return f.select("profile_id", answers.has_evidence(f.schema["metrics"].dataType, whole=False).alias("plausible"))
 
 
-@query(f"""with {O}, f as (select *, len(bias) as nb from calibration_profile),
-           j as (select z.*, f.temperature as t, f.bias as b, f.nb from z join f on z.workload_id = f.workload_id and z.primitive = f.primitive and len(z.ids) between f.card_min and f.card_max),
-           k as (select *, list_transform(range(1, len(z) + 1), lambda i: z[i] / t + case when nb = len(z) then b[i] else 0 end) as y from j),
-           e as (select *, list_transform(y, lambda x: exp(x - list_max(y))) as e from k)
-           select example_id, question_id, round(list_max(e) / list_sum(e), 6) as confidence from e""")
-def b16_calibrated_answer(spark, sf_dir):
+#: Runtimes by name: artifact, model, revision, precision, prompt version, label version; null: not said.
+_RUNTIMES = [
+    ("any", None, None, None, None, None, None), ("model", None, "scorer-0", None, None, None, None), ("artifact", "art-1", None, None, "bfloat16", None, None),
+    ("strict", "art-1", "scorer-1", "r2", "bfloat16", "p2", "l0"), ("unknown", None, None, "none", None, None, None),
+]
+_RUNTIME_SQL = ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in r) + ")" for r in _RUNTIMES)
+_FITS = " and ".join(f"(r.{k} is null or r.{k} = f.{k})" for k in answers.RUNTIME)
+
+
+def runtimes(spark) -> DataFrame:
+    rows = spark.createDataFrame(_RUNTIMES, "name string, " + ", ".join(f"{k} string" for k in answers.RUNTIME))
+    return rows.select("name", F.struct(*answers.RUNTIME).alias("runtime"))
+
+
+@query(f"""with r(name, {", ".join(answers.RUNTIME)}) as (values {_RUNTIME_SQL}), {O}, q as (select distinct primitive, len(ids) as options from o)
+           select r.name, f.profile_id, q.primitive, cast(q.options as integer) as options from r, q, calibration_profile f
+           where f.primitive = q.primitive and q.options between f.card_min and f.card_max and {_FITS}""")
+def b14_compatible_profiles(spark, sf_dir):
+    """Which profiles fit which runtime, primitive and number of options: two small dimensions against the profiles."""
+    q = ds.with_options(decisions(spark, sf_dir, "primitive", "answer")).select("primitive", F.size("ids").alias("options")).distinct()
+    f = profiles(spark, sf_dir).select("profile_id", F.struct("primitive", "card_min", "card_max", *answers.RUNTIME).alias("profile"))
+    rows = q.join(f, F.col("primitive") == F.col("profile.primitive")).join(runtimes(spark))
+    return rows.where(answers.compatible()).select("name", "profile_id", "primitive", "options")
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """Decisions with the profile their workload asks for, if it is not an unknown one, under the runtime ``model`` for choices and
+    one that says nothing for the rest."""
     d = ds.with_options(decisions(spark, sf_dir, "workload_id", "primitive", "answer"))
-    f = profiles(spark, sf_dir).select("workload_id", "primitive", "temperature", "bias", "card_min", "card_max")
-    on = (d.workload_id == f.workload_id) & (d.primitive == f.primitive) & F.size("ids").between(f.card_min, f.card_max)
-    q = ds.softmax(F.col("z"), F.col("temperature"), F.col("bias"))
-    return rounded(d.join(f, on).select(*KEY, F.array_max(q).alias("confidence")), "confidence")
+    values = F.when(F.col("primitive") == "score", F.transform("ids", lambda i: F.regexp_extract(i, r"(\d+)$", 1).cast("double")))
+    none, model = (F.struct(*(F.lit(x).cast("string").alias(k) for k, x in zip(answers.RUNTIME, r[1:]))) for r in _RUNTIMES[:2])
+    return d.select(*KEY, "workload_id", "primitive", "ids", "z", F.when(F.col("primitive") == "choice", model).otherwise(none).alias("runtime"),
+                    F.col("workload_id").alias("profile_id"), F.col("answer.order_discrepancy").alias("discrepancy"), values.alias("values"))
+
+
+_ASKED = f"""{O}, {_EVIDENCE}, s1 as (select z.*, f.profile_id, f.temperature as t, f.bias as b, f.policy as policy, case when f.profile_id is null then 'no_profile' when not plausible then 'no_evidence'
+    when f.primitive <> z.primitive or len(ids) not between card_min and card_max or (z.primitive = 'choice' and model_id <> 'scorer-0') then 'incompatible' else 'validated' end as status
+    from z left join calibration_profile f on f.profile_id = z.workload_id left join evidence e on e.profile_id = f.profile_id)"""
+
+
+@query(f"""with recursive {_ASKED} select workload_id, primitive, status, count(*) as n from s1 group by all""")
+def d02_profile_status(spark, sf_dir):
+    out = answers.with_profile(asked(spark, sf_dir), profiles(spark, sf_dir), whole=False)
+    return out.groupBy("workload_id", "primitive", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with recursive {_ASKED}, s2 as (select *, status = 'validated' and (t <> 1 or b is not null) as rescale from s1),
+           s3 as (select *, list_transform(range(1, len(z) + 1), lambda i: case when rescale then z[i] / t + case when len(b) = len(z) then b[i] else 0 end else z[i] end) as y from s2),
+           s4 as (select *, list_transform(y, lambda x: exp(x - list_max(y))) as e from s3), s5 as (select *, list_transform(e, lambda x: x / list_sum(e)) as q from s4),
+           s6 as (select *, list_reverse_sort(q) as r, q[list_position(ids, 'true')] as yes,
+                    case when rescale then list_max(list_filter(ids, lambda i: q[list_position(ids, i)] = list_max(q))) else ids[list_position(q, list_max(q))] end as chosen from s5)
+           select example_id, question_id, status, case when status = 'validated' then 'validated' else 'uncalibrated' end as calibration_status,
+             case when status <> 'validated' or policy is null or policy.type = 'review_only' or coalesce(answer.order_discrepancy > policy.max_order_discrepancy, false) then 'review'
+               when (case when policy.metric = 'margin' then r[1] - r[2] else r[1] end) >= policy.threshold then 'accept' else 'review' end as disposition,
+             case primitive when 'boolean' then (yes >= 0.5)::varchar when 'choice' then chosen end as value, case when primitive = 'boolean' then round(yes, 6) end as p_true,
+             case when primitive = 'score' then chosen end as level_id,
+             case when primitive = 'score' then round(list_sum(list_transform(range(1, len(ids) + 1), lambda i: q[i] * cast(regexp_extract(ids[i], '([0-9]+)$', 1) as double))), 6) end as expected_value
+           from s6""")
+def b16_calibrated_answer(spark, sf_dir):
+    out = answers.calibrated_answers(asked(spark, sf_dir), profiles(spark, sf_dir), whole=False)
+    return rounded(out.select(*KEY, "status", "calibration_status", "disposition", "value", "p_true", "level_id", "expected_value"), "p_true", "expected_value")
 
 
 @query()
@@ -494,19 +569,6 @@ def e13_reliability_bins(spark, sf_dir):
     return rounded(metrics.reliability_bins(scored(spark, sf_dir)), "mean_confidence", "accuracy", "least", "greatest", "difference")
 
 
-def _bound(source: str, key: str) -> str:
-    """CTE ``bound(key, bound)`` of ``source(key, accepted, errors)``: the Clopper-Pearson limit, bisected over the CDF."""
-    cdf = (
-        "list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)"
-        " + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2))))"
-    )
-    return f"""bis as (select {key}, accepted as n, errors as k, 0 as step, errors / accepted::double as lo, 1.0::double as hi from {source} where errors > 0 and errors < accepted
-        union all select {key}, n, k, step + 1, case when above then mid else lo end, case when above then hi else mid end
-        from (select *, (lo + hi) / 2 as mid, {cdf} > 0.05 as above from bis where step < 45)),
-      bound as (select {key}, case when accepted <= 0 or errors >= accepted then 1 when errors = 0 then 1 - pow(0.05::double, 1 / accepted::double) else (lo + hi) / 2 end as bound
-        from {source} left join (select * from bis where step = 45) using ({key}))"""
-
-
 @query(f"""with recursive r as (select profile_id, metrics.errors_in_accepted as errors, metrics.accepted_count as accepted from calibration_profile),
            {_bound("r", "profile_id")} select profile_id, errors, accepted, round(bound, 6) as bound from r join bound using (profile_id)""")
 def e14_binomial_bound(spark, sf_dir):

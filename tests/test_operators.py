@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from adjudica.functions import distributions as ds
 from adjudica.functions import text as tx
 from adjudica.functions.binomial import upper_bound
-from adjudica.operators import calibrate, compare, dedup, metrics, monitor, ranks, report, selective
+from adjudica.operators import answers, calibrate, compare, dedup, metrics, monitor, ranks, report, selective
 from adjudica.operators.components import connected_components
 from adjudica.operators.skew import hub_join
 from adjudica.plans import catalog, pipelines, tables  # noqa: F401 (pipelines adds its queries to the catalog)
@@ -429,3 +429,61 @@ def test_review_audit(spark):
         s = summary.first()
         assert (s.control, s.control_disputes, s.dispute_rate, s.control_passed, s.disagreements, s.quarantined) == (10, disputes, disputes / 10, passed, 10, int(passed))
         assert [r.example_id for r in bad.collect()] == (["e001"] if passed else [])
+
+
+FULL = {
+    "gate_ece_passed": True, "gate_brier_passed": True, "gate_selective_passed": True, "samples_sufficient_for_gate": True, "ece": 0.02, "brier_score": 0.1, "prevalence_brier_score": 0.2,
+    "coverage": 0.6, "accepted_error_95_upper_bound": 0.04, "errors_in_accepted": 1, "accepted_count": 120, "sample_count": 200,
+}
+METRICS = ", ".join(f"{k}: {'boolean' if isinstance(v, bool) else 'int' if isinstance(v, int) else 'double'}" for k, v in FULL.items())
+
+
+def test_evidence_needs_every_conjunct(spark):
+    bad = [{k: None} for k in FULL] + [{k: False} for k, v in FULL.items() if v is True] + [
+        {"ece": 0.051}, {"ece": -0.1}, {"brier_score": 0.21}, {"prevalence_brier_score": float("inf"), "brier_score": float("inf")}, {"coverage": 0.49}, {"coverage": 1.1},
+        {"accepted_error_95_upper_bound": 0.051}, {"errors_in_accepted": 121}, {"errors_in_accepted": 5}, {"accepted_count": 58}, {"sample_count": 241}, {"sample_count": 119},
+    ]
+    rows = [FULL] + [FULL | x for x in bad]
+    df = spark.createDataFrame([(i, tuple(r.values())) for i, r in enumerate(rows)] + [(99, None)], f"i int, metrics struct<{METRICS}>")
+    got = {r.i for r in df.where(answers.has_evidence(df.schema["metrics"].dataType)).collect()}
+    assert got == {0}
+    few = df.select("i", F.struct("metrics.ece", "metrics.errors_in_accepted", "metrics.accepted_count").alias("metrics"))
+    assert few.where(answers.has_evidence(few.schema["metrics"].dataType)).count() == 0
+
+
+def test_answers_by_profile(spark):
+    key = dict.fromkeys(answers.RUNTIME, "x")
+    policy = ("threshold", 0.8, "confidence", 0.1)
+    kinds = "profile_id string, primitive string, card_min int, card_max int, " + ", ".join(f"{k} string" for k in answers.RUNTIME)
+    kinds += f", temperature double, bias array<double>, policy struct<type: string, threshold: double, metric: string, max_order_discrepancy: double>, metrics struct<{METRICS}>"
+    good = tuple(FULL.values())
+    profiles = spark.createDataFrame([
+        ("b", "boolean", 2, 2, *key.values(), 0.5, None, policy, good), ("bad", "boolean", 2, 2, *key.values(), 0.5, None, policy, tuple((FULL | {"ece": 0.2}).values())),
+        ("c", "choice", 2, 3, *key.values(), 1.0, [0.0, 3.0], policy, good), ("s", "score", 2, 3, *key.values(), 1.0, None, policy, good),
+    ], kinds)
+    none, other = (None,) * 6, ("x", "x", "y", None, None, None)
+    z = [0.0, 1.0]
+    data = [
+        ("1", "b", "boolean", ["false", "true"], z, none, None, None), ("2", "b", "boolean", ["false", "true"], z, other, None, None), ("3", "bad", "boolean", ["false", "true"], z, none, None, None),
+        ("4", None, "boolean", ["false", "true"], z, none, None, None), ("5", "c", "choice", ["a", "b"], [1.0, 0.0], none, None, None), ("6", "c", "choice", ["a", "b"], [1.0, 0.0], none, 0.2, None),
+        ("7", "c", "choice", ["a", "b", "c", "d"], [1.0, 0.0, 0.0, 0.0], none, None, None), ("8", "s", "score", ["l1", "l2"], [0.0, 0.0], none, None, [1.0, 2.0]), ("9", "b", "choice", ["a", "b"], z, none, None, None),
+        ("10", "zz", "choice", ["b", "a"], [0.0, 0.0], none, None, None),
+    ]
+    runtime = ", ".join(f"{k}: string" for k in answers.RUNTIME)
+    d = spark.createDataFrame(data, f"i string, profile_id string, primitive string, ids array<string>, z array<double>, runtime struct<{runtime}>, discrepancy double, values array<double>")
+    got = {r.i: r for r in answers.calibrated_answers(d, profiles).collect()}
+    assert {i: r.status for i, r in got.items()} == {
+        "1": "validated", "2": "incompatible", "3": "no_evidence", "4": "no_profile", "5": "validated", "6": "validated", "7": "incompatible", "8": "validated", "9": "incompatible", "10": "no_profile"}
+    assert all((r.calibration_status == "validated") == (r.status == "validated") and (r.status == "validated" or r.disposition == "review") for r in got.values())
+    assert (got["1"].value, got["1"].disposition) == ("true", "accept") and got["1"].p_true == pytest.approx(1 / (1 + math.exp(-2)))
+    assert got["2"].p_true == pytest.approx(1 / (1 + math.exp(-1))) and got["5"].value == "b" and got["5"].disposition == "accept" and got["6"].disposition == "review"
+    assert got["8"].expected_value == pytest.approx(1.5) and got["8"].level_id == "l1" and got["8"].disposition == "review" and got["10"].value == "b"
+
+
+def test_label_mass_gate(spark):
+    df = spark.createDataFrame([("g", ["a", "b", "c"], [0.0, 0.0, 0.0]), ("g", ["a"], None), ("h", ["a", "b"], [5.0, 5.0])], "g string, v array<string>, z array<double>")
+    df = df.withColumn("m", answers.label_mass(F.col("v"), F.col("z"), F.array(F.lit("a"), F.lit("b"), F.lit("zz"))))
+    got = {r.g: r for r in answers.label_mass_gate(df, "m", ["g"]).collect()}
+    assert (got["g"].n, got["g"].missing, got["g"].below, got["g"].gate_passed) == (2, 1, 1, False) and got["h"].gate_passed
+    with pytest.raises(Exception, match="label mass"):
+        answers.label_mass_gate(df, "m", ["g"], strict=True).collect()
