@@ -35,6 +35,22 @@ def _same(a: str, b: str, keys: list[str]):
     return on
 
 
+def _within(rows: DataFrame, left: DataFrame, keys: list[str], few: bool, share: int = 1000) -> DataFrame:
+    """Rows ``r`` with the open interval ``i`` of their group that holds them. Few intervals are broadcast. Of many, those of groups
+    with more than 1/``share`` of all rows are (fewer than ``share`` groups, by pigeonhole), and the rest meet by a shuffle in
+    which no group is large."""
+    on = _same("r", "i", keys) & F.expr("r.value between i.lo and i.hi")
+    if few:
+        return rows.alias("r").join(F.broadcast(left).alias("i"), on)
+    total = rows.count()
+    large = left.where(F.col("n") * share > total)
+    names = F.broadcast(large.select(*keys).distinct())
+    rest = rows.alias("r").join(names.alias("i"), _same("r", "i", keys), "left_anti")
+    parts = (rows, F.broadcast(large)), (rest, left.where(F.col("n") * share <= total))
+    out = [a.alias("r").join(b.alias("i"), on).select(F.struct("r.*").alias("r"), F.struct("i.*").alias("i")) for a, b in parts]
+    return out[0].unionByName(out[1])
+
+
 def bisect_percentiles(
     df: DataFrame, groups: list[str], values: list[str], percentiles: tuple[float, ...] = PERCENTILES, cells: int = 256,
     tolerance: float = 0.0, most_broadcast: int = 200_000, max_passes: int = 80,
@@ -43,7 +59,8 @@ def bisect_percentiles(
 
     Exact with ``tolerance=0``; else a pass stops at intervals whose ends differ by at most that share of the upper end,
     and ``value`` is the upper end. A null group is a group. Groups without a measured value, and empty tables, have no
-    rows. Ties and repeated rows count as often as they occur.
+    rows. Ties and repeated rows count as often as they occur. ``most_broadcast`` chooses between ways with equal results
+    (``_within``).
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "percentiles")
@@ -56,13 +73,12 @@ def bisect_percentiles(
     state = scratch.save(state, "state0")
     open_ = F.col("hi") - F.col("lo") > tolerance * F.abs("hi")
     for k in range(1, max_passes + 1):
-        left = state.where(open_).select(*keys, "lo", "hi", "below").distinct()
+        left = state.where(open_).select(*keys, "n", "lo", "hi", "below").distinct()
         left = scratch.save(left, f"open{k}")
         count = left.count()
         if not count:
             break
-        ways = F.broadcast(left) if count <= most_broadcast else left
-        hit = rows.alias("r").join(ways.alias("i"), _same("r", "i", keys) & F.expr("r.value between i.lo and i.hi"))
+        hit = _within(rows, left, keys, count <= most_broadcast)
         cell = f"least({cells - 1}L, cast(floor((r.value / 2 - i.lo / 2) / (i.hi / 2 - i.lo / 2) * {cells}) as bigint)) as cell"
         hit = hit.select(*(F.col(f"i.{c}").alias(c) for c in [*keys, "lo", "below"]), F.col("r.value").alias("value"), F.expr(cell))
         hit = hit.groupBy(*keys, "lo", "below", "cell").agg(
