@@ -27,16 +27,22 @@ PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 def propagate(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``(entity, label)``: the least entity reachable over ``edges(record, entity)``. Every round also takes the label's
-    own label (pointer jumping), so chains need a logarithmic number of rounds."""
+    own label (pointer jumping), so chains need a logarithmic number of rounds. An entity, or a label, with a large share of all
+    rows is joined by broadcast (``hub_join``)."""
     scratch = Scratch(edges.sparkSession, "propagate")
     edges = scratch.save(edges.distinct(), "edges")
-    labels = scratch.save(edges.select("entity", F.col("entity").alias("label")).distinct(), "labels0")
+    degree = scratch.save(edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "degree")
+    total = degree.agg(F.sum("n")).first()[0] or 0
+    labels = scratch.save(degree.select("entity", F.col("entity").alias("label")), "labels0")
     for k in range(1, max_rounds + 1):
-        record = edges.join(labels, "entity").groupBy("record").agg(F.min("label").alias("label"))
+        record = hub_join(edges, labels.join(degree, "entity"), "entity", total).groupBy("record").agg(F.min("label").alias("label"))
         seen = edges.join(record, "record").groupBy("entity").agg(F.min("label").alias("label"))
+        seen = scratch.save(seen, f"seen{k}")
         jump = seen.select(F.col("entity").alias("label"), F.col("label").alias("further"))
-        new = seen.join(jump, "label", "left").select("entity", F.least("label", "further").alias("label"))
+        jump = jump.join(seen.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")  # every label is an entity
+        new = hub_join(seen, jump, "label", total).select("entity", F.least("label", "further").alias("label"))
         new = scratch.save(new, f"labels{k}")
+        scratch.drop(f"seen{k}")
         changed = new.join(labels.withColumnRenamed("label", "old"), "entity").where("label <> old").take(1)
         scratch.drop(f"labels{k - 1}")
         labels = new

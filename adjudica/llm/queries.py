@@ -54,6 +54,13 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits.group_splits(table(spark, sf_dir, "suite")).withColumnRenamed("id", "example_id")
 
 
+def p4_linked_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits in which examples linked by any chain of sources and near-duplicate clusters stay together."""
+    cluster = F.when(~F.col("near_duplicate_cluster_id").isin(*pair_groups.PLACEHOLDERS), F.col("near_duplicate_cluster_id"))
+    suite = table(spark, sf_dir, "suite").select("example_id", "workload_id", "source_group_id", cluster.alias("cluster"))
+    return group_splits.group_splits(suite, entity_cols=("source_group_id", "cluster")).withColumnRenamed("id", "example_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = split_overlap.split_overlap(table(spark, sf_dir, "suite"))
     pair = F.least("train_id", "eval_id").alias("example_id_a"), F.greatest("train_id", "eval_id").alias("example_id_b")
