@@ -7,7 +7,7 @@ A batch of strings is one ``uint32`` array of code points plus row offsets. Tabl
 from __future__ import annotations
 
 import hashlib
-import sys
+import itertools
 import unicodedata
 from functools import cache
 
@@ -20,20 +20,20 @@ TOP = 0x110000
 LOOKALIKES = {
     # Cyrillic capitals
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ӏ": "I",
+    "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ӏ": "I", "Ѵ": "V",
     # Cyrillic small letters
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h",
     "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l",
     # Greek capitals
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Ϝ": "F", "Ϻ": "M", "ϒ": "Y",
     # Greek small letters
     "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "α": "a", "γ": "y", "υ": "u", "ϲ": "c", "ϳ": "j",
 }
-# Characters without any visible form (zero width, joiners, soft hyphen, direction marks).
+# The code points that Unicode says are to be ignored in display (Default_Ignorable_Code_Point).
 INVISIBLE = [
-    0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065),
-    *range(0x2066, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF,
+    0x00AD, 0x034F, 0x061C, *range(0x115F, 0x1161), *range(0x17B4, 0x17B6), *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F),
+    *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0, *range(0xFFF0, 0xFFF9), *range(0x1BCA0, 0x1BCA4), *range(0x1D173, 0x1D17B), *range(0xE0000, 0xE1000),
 ]
 
 
@@ -96,7 +96,8 @@ def expand(points: np.ndarray, offsets: np.ndarray, at: np.ndarray, into: list[n
 
 
 def _assigned():
-    return (i for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    """Planes 0 to 3 and 14: all assigned characters but those for private use."""
+    return (i for i in itertools.chain(range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE1000)))
 
 
 @cache
@@ -129,9 +130,7 @@ def mark_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.nd
     ccc, joins = np.zeros(TOP, np.uint8), np.zeros(TOP, bool)
     never, splits = np.zeros(TOP, bool), np.zeros(TOP, bool)
     pairs: dict[int, int] = {}
-    for i in [*range(0x20, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x11FFF + 0x800), *range(0x1D000, 0x1EA00), *range(0x2F800, 0x2FA20)]:
-        if 0xD800 <= i < 0xE000:
-            continue
+    for i in _assigned():
         c = chr(i)
         ccc[i] = unicodedata.combining(c)
         way = unicodedata.decomposition(c)

@@ -101,12 +101,12 @@ def test_cluster_of_a_third_of_all_rows(spark):
 LATENCY = [("w", x) for x in (5.0, 1.0, 1.0, 3.0, float("nan"), None, -1.0, float("inf"), 0.0)] + [(None, 2.0), ("one", 7.0), ("none", None)]
 
 
-@pytest.mark.parametrize("cells", [2, 256])
-def test_percentiles(spark, cells):
+@pytest.mark.parametrize("cells, most", [(2, 10**6), (256, 10**6), (256, 0)])
+def test_percentiles(spark, cells, most):
     rng = random.Random(1)
     data = LATENCY + [("big", rng.lognormvariate(3, 2)) for _ in range(3000)] + [("ties", 15.625 * rng.randrange(5)) for _ in range(500)]
     df = spark.createDataFrame(data, "g string, v double").withColumn("metric", F.lit("clash")).withColumn("value", F.lit("clash"))
-    got = {(r.g, r.p): (r.n, r.value) for r in percentiles.bisect_percentiles(df, ["g"], ["v"], cells=cells).collect()}
+    got = {(r.g, r.p): (r.n, r.value) for r in percentiles.bisect_percentiles(df, ["g"], ["v"], cells=cells, most_broadcast=most).collect()}
     for g in {x for x, _ in data}:
         values = sorted(v for x, v in data if x == g and v is not None and 0 <= v < math.inf)
         for p in percentiles.PERCENTILES:
@@ -149,6 +149,26 @@ def test_splits(spark):
     assert group_splits.group_splits(df.limit(0)).count() == 0
 
 
+def test_linked_splits(spark):
+    out = {r.example_id: (r.group_id, r.split) for r in queries.p4_linked_splits(spark, SF).collect()}
+    s = rows(spark.read.parquet(f"{SF}/suite.parquet"), "example_id", "source_group_id", "near_duplicate_cluster_id")
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, a, b in s:
+        for e in [("s", a)] * (a is not None) + [("c", b)] * (b not in (None, "", "unclustered")):
+            root[find(("e", i))] = find(e)
+    by: dict = {}
+    for i, _, _ in s:
+        by.setdefault(find(("e", i)), set()).add(out[i])
+    assert len(out) == len({i for i, _, _ in s}) and all(len(x) == 1 for x in by.values())
+    assert len({x.pop()[0] for x in by.values()}) == len(by)
+
+
 def test_propagation_over_long_chains(spark):
     edges = spark.createDataFrame([(f"r{i}", f"n{i + d:03d}") for i in range(60) for d in (0, 1)], "record string, entity string")
     assert {r.label for r in group_splits.propagate(edges).collect()} == {"n000"}
@@ -281,6 +301,14 @@ def test_visual_form_is_nfc_after_mapping(texts):
     assert np.diff(at).tolist() == [len(brute.words(x or "")) for x in texts]
 
 
+def test_marks_of_every_plane_are_put_in_order():
+    marks = [chr(i) for i in range(0x110000) if unicodedata.combining(chr(i))]
+    texts = ["a" + m + "\u0301\u0323" + n for m, n in zip(marks, reversed(marks))]
+    assert cp.encode(*cp.compose(*cp.decode(pa.array(texts)))).to_pylist() == [unicodedata.normalize("NFC", t) for t in texts]
+    hidden = pa.array(["V\U000e0100" + "x\u180b\u3164", "\u0474x"])
+    assert cp.encode(*cp.visual_form(*cp.decode(hidden))).to_pylist() == ["Vx", "Vx"]
+
+
 def test_visual_form_edges(spark):
     data = [("a", "Café"), ("b", "Café"), ("c", "Cafe"), ("d", "Сafé"), ("e", "x²"), ("f", "x2"), ("g", "ｆｕｌｌ"), ("h", "full"), ("i", "fu​ll"), ("j", None),
             (None, "full"), ("k", ""), ("l", "­"), ("m", "a b"), ("n", "a b"), ("o", "a\tb"), ("p", "a  b"), ("q", "x" * 200_000), ("r", "х" * 200_000), ("h", "full")]
