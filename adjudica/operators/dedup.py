@@ -25,8 +25,8 @@ def shingles(words: Column, k: int = 5) -> Column:
 
 
 def similar_pairs(rows: DataFrame, id_col: str, words: Column, least: float = 0.9, k: int = 5) -> DataFrame:
-    """``(a, b, similarity)`` with exact Jaccard of ``least`` or more (C3): the first ``n - ceil(least n) + 1`` digests in
-    sorted order are indexed, sizes must allow the similarity, and the sets decide. Rows with equal word lists are taken
+    """``(a, b, similarity)`` with exact Jaccard of ``least`` or more (C3): rows are met by the first digests (``met_pairs``) and
+    the sets decide. Rows with equal word lists are taken
     together first, so exact copies cost nothing; ``a`` and ``b`` are the least ids of their texts."""
     one = rows.select(F.col(id_col).alias("id"), words.alias("w")).where("w is not null").groupBy(F.xxhash64("w").alias("h"), F.sha2(F.array_join("w", " "), 256).alias("s"))
     one = one.agg(F.min("id").alias("id"), F.first("w").alias("w")).select("id", shingles(F.col("w"), k).alias("g"))
@@ -34,11 +34,43 @@ def similar_pairs(rows: DataFrame, id_col: str, words: Column, least: float = 0.
     return verified(met_pairs(one, least), one, least)
 
 
+def common_digests(one: DataFrame, most: int = 10_000, tracked: int = 200_000) -> list[int]:
+    """The digests of most rows ``(id, g)``, at most ``most`` of them, from a sketch of ``tracked`` counters."""
+    found = one.select(F.explode("g").alias("t")).agg(F.expr(f"approx_top_k(t, {most}, {tracked})").alias("top")).first()
+    return [x["item"] for x in found.top or [] if x["count"] > 2]
+
+
 def met_pairs(one: DataFrame, least: float) -> DataFrame:
-    """``(a, b)`` of rows ``(id, g)`` that share a digest of both prefixes and have sizes that allow the similarity."""
-    head = one.select("id", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), F.expr(f"cast(size(g) - ceil({least}D * size(g)) + 1 as int)"))).alias("t"))
+    """``(a, b)`` of rows ``(id, g)`` whose sizes allow the similarity and that share a digest where the first shared one must
+    stand. Of ``need = ceil(t / (1 + t) (n_a + n_b))`` shared digests the first is at place ``n - need`` or before in both rows,
+    whatever the order: here the most common digests come last, so that few rows meet by them."""
+    common = common_digests(one)
+    last = (lambda x: x.isin(common)) if common else (lambda x: F.lit(False))
+    g = F.concat(F.filter("g", lambda x: ~last(x)), F.filter("g", last)).alias("g")
+    head = one.select("id", F.size("g").alias("n"), g).select("id", "n", F.posexplode(F.slice("g", F.lit(1), F.expr(f"cast(n - ceil({least}D * n - 1e-9D) + 1 as int)"))).alias("p", "t"))
+    head = head.selectExpr("id", "n", "n - p as rest", "t")
     x, y = head.alias("x"), head.alias("y")
-    return x.join(y, F.expr(f"x.t = y.t and x.id < y.id and least(x.n, y.n) >= {least}D * greatest(x.n, y.n)")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    on = f"x.t = y.t and x.id < y.id and least(x.rest, y.rest) >= ceil({least}D / (1 + {least}D) * (x.n + y.n) - 1e-9D) and least(x.n, y.n) >= {least}D * greatest(x.n, y.n) - 1e-9D"
+    return x.join(y, F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def parities(g: Column, longs: int = 4) -> Column:
+    """A bit map of ``64 * longs`` bits of a set of digests, each bit the parity of those that fall on it: two sets differ in at
+    least as many members as their maps in bits."""
+    part = lambda k: F.filter(g, lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(longs - 1)) == k)
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    return F.array(*(F.aggregate(part(k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x))) for k in range(longs)))
+
+
+def not_too_far(met: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """``(a, b)`` of ``met`` whose bit maps do not show already that they differ in more digests than ``least`` allows: a few
+    bytes a row, so that far fewer of the much larger sets are fetched."""
+    maps = one.select("id", F.size("g").alias("n"), parities(F.col("g")).alias("m"))
+    for s in "ab":
+        met = met.join(maps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}")), s)
+    apart = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    need = F.expr(f"ceil({least}D / (1 + {least}D) * (n_a + n_b) - 1e-9D)")
+    return met.where(apart <= F.col("n_a") + F.col("n_b") - 2 * need).select("a", "b")
 
 
 def verified(met: DataFrame, one: DataFrame, least: float) -> DataFrame:
@@ -58,7 +90,10 @@ def near_duplicates(rows: DataFrame, id_col: str, key: Column, least: float = 0.
     classes = keyed.where("key is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.split(F.first("key"), " ").alias("w"))
     classes = scratch.save(classes, "classes")  # words are split once: an expression inside ``shingles`` would run at every window
     texts = classes.select(F.col("class_id").alias("id"), "w").where(f"size(w) >= {k}")
-    met = scratch.save(met_pairs(texts.select("id", shingles(F.col("w"), k).alias("g")), least), "met")
+    grams = texts.select("id", shingles(F.col("w"), k).alias("g"))
+    met = scratch.save(met_pairs(grams, least), "met")
+    some = texts.join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    met = scratch.save(not_too_far(met, some.select("id", shingles(F.col("w"), k).alias("g")), least), "near")
     ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # digests are far larger than words: only of texts met
     sets = scratch.save(texts.join(ids, "id", "left_semi").select("id", shingles(F.col("w"), k).alias("g")), "sets")
     pairs = scratch.save(verified(met, sets, least), "pairs")
@@ -92,10 +127,13 @@ def source_components(examples: DataFrame) -> DataFrame:
     source = F.concat(F.lit("source:"), F.col("source_group_id"))
     cluster = F.concat(F.lit("cluster:"), F.nullif(F.nullif(F.col("near_duplicate_cluster_id"), F.lit("")), F.lit("unclustered")))
     rows = examples.select("example_id", source.alias("s"), cluster.alias("c")).distinct()
-    found = connected_components(rows.select(F.coalesce("s", "c").alias("a"), F.coalesce("c", "s").alias("b")))
-    rows = rows.withColumn("node", F.coalesce("s", "c"))
-    out = rows.join(found, "node", "left").select("example_id", F.coalesce("component", F.concat(F.lit("example:"), "example_id")).alias("component"))
-    return out.groupBy("example_id").agg(F.min("component").alias("component"))
+    rows = Scratch(examples.sparkSession, "nodes").save(rows.withColumn("node", F.coalesce("s", "c")), "rows")
+    found = connected_components(rows.select(F.col("node").alias("a"), F.coalesce("c", "s").alias("b")))
+    sizes = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    named = hub_join(rows.where("node is not null"), found.join(sizes, "node"), "node", total).select("example_id", "component")
+    alone = rows.where("node is null").select("example_id", F.concat(F.lit("example:"), "example_id").alias("component"))
+    return named.unionByName(alone).groupBy("example_id").agg(F.min("component").alias("component"))
 
 
 def boundary_conflicts(examples: DataFrame, components: DataFrame) -> DataFrame:
@@ -109,14 +147,16 @@ def boundary_conflicts(examples: DataFrame, components: DataFrame) -> DataFrame:
 
 def assign_splits(examples: DataFrame, components: DataFrame, seed: str) -> DataFrame:
     """``(example_id, component, split, conflict)`` (C7): the explicit split of a component, else task_holdout if it holds
-    out its template, else the hash bucket of its name. A component with several explicit splits, or with held-out and
-    ordinary rows, is a conflict and gets no split, where strict use would refuse the table."""
-    rows = examples.select("example_id", "evaluation_split", "task_template_holdout").distinct().join(components, "example_id")
+    out its template, else the hash bucket of its name, its least id (a list of all its ids could be a third of the table in
+    one value). A component with several explicit or upstream splits, or with held-out and ordinary rows, is a conflict and
+    gets no split, where strict use would refuse the table."""
+    upstream = F.when(F.col("public_source").isNotNull(), F.coalesce("public_source.upstream_split", F.lit(""))).alias("upstream")
+    rows = examples.select("example_id", "evaluation_split", "task_template_holdout", upstream).distinct().join(components, "example_id")
     g = rows.groupBy("component").agg(
-        F.count_distinct(F.coalesce("evaluation_split", F.lit(""))).alias("k"), F.max("evaluation_split").alias("explicit"),
+        F.count_distinct(F.coalesce("evaluation_split", F.lit(""))).alias("k"), F.max("evaluation_split").alias("explicit"), F.count_distinct("upstream").alias("ups"),
         F.min("task_template_holdout").alias("h0"), F.max("task_template_holdout").alias("h1"),
     )
-    conflict = (F.col("k") > 1) | (F.col("h0") != F.col("h1")) | (F.col("explicit").isNotNull() & F.col("h1") & (F.col("explicit") != "task_holdout"))
+    conflict = (F.col("k") > 1) | (F.col("ups") > 1) | (F.col("h0") != F.col("h1")) | (F.col("explicit").isNotNull() & F.col("h1") & (F.col("explicit") != "task_holdout"))
     split = F.when(conflict, None).when(F.col("explicit").isNotNull(), F.col("explicit")).when(F.col("h1"), "task_holdout")
     split = F.when(conflict, None).otherwise(F.coalesce(split, tx.split_of(tx.bucket(seed, F.col("component")))))
     g = g.select("component", split.alias("split"), F.coalesce(conflict, F.lit(False)).alias("conflict"))
