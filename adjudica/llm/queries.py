@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
 from . import format_copies, group_splits, leaks, near_groups, packing, pair_groups, percentiles, shared_spans, split_overlap, visual_form
 
 
@@ -99,6 +100,31 @@ def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p8_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing must keep, in one row: texts packed, pieces of a text that fits, containers too full, and whether the
+    containers are at most 1 % more than the tokens ask for."""
+    rows = packing.pack(table(spark, sf_dir, "documents"))
+    rows = Scratch(spark, "packed").save(rows, "packed")
+    load = rows.where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("t"))
+    used = load.agg(F.count_if(F.col("t") > 2048).alias("too_full"), (F.count(F.lit(1)) <= 1.01 * F.ceil(F.sum("t") / 2048) + 1).alias("near_least"))
+    texts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("t"))
+    split = texts.agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= 2048)).alias("split_in_vain"))
+    return split.crossJoin(used)  # one row by one row
+
+
+def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per workload of 200 examples or more: whether each split has its proportion to within 3 % of the workload, and how many
+    sources stand in several splits."""
+    suite = table(spark, sf_dir, "suite")
+    facts = suite.groupBy("example_id").agg(F.min("workload_id").alias("workload_id"))
+    out = Scratch(spark, "splits").save(group_splits.group_splits(suite).select(F.col("id").alias("example_id"), "split").join(facts, "example_id"), "splits")
+    share = lambda s, p: F.abs(F.count_if(F.col("split") == s) / F.count(F.lit(1)) - p) <= 0.03
+    kept = out.groupBy("workload_id").agg(F.count(F.lit(1)).alias("examples"), *(share(s, p).alias(s) for s, p in group_splits.PROPORTIONS.items()))
+    torn = suite.select("example_id", "source_group_id").where("source_group_id is not null").distinct().join(out, "example_id")
+    torn = torn.groupBy("source_group_id").agg((F.count_distinct("split") > 1).alias("torn")).agg(F.count_if("torn").alias("torn_sources"))
+    return kept.where("examples >= 200").join(torn)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -119,6 +145,7 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _MEASURED = """
     select workload_id, metric, value from (
         select workload_id, 'inference_ms' as metric, inference_ms as value from direct_development
@@ -129,6 +156,22 @@ _P = ", ".join(f"({p}::double)" for p in percentiles.PERCENTILES)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_found": f"""
+            with i as (select item_id, {_WORDS} as w from heldout_items), d as (select doc_id, {_WORDS} as w from documents),
+            g as (select distinct item_id, array_to_string(w[k:k + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i where len(w) >= 13)),
+            h as (select doc_id, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d where len(w) >= 13))
+            select distinct doc_id, item_id from g join h using (g)""",
+        "p10_found": """
+            with d as (select distinct doc_id, text from documents where doc_id is not null and length(text) >= 400),
+            w as (select doc_id, i, md5_number(substring(text, i, 400)) as h from (select doc_id, text, unnest(range(1, length(text) - 398)) as i from d)),
+            s as (select h from w group by h having min(doc_id) <> max(doc_id)),
+            m as (select doc_id, i, coalesce(lag(i) over (partition by doc_id order by i), i - 400) as last from w join s using (h))
+            select doc_id, cast(sum(least(400, i - last)) as bigint) as shared_chars from m group by 1""",
+        "p8_balance": """
+            select count(distinct doc_id) as texts, 0 as split_in_vain, 0 as too_full, true as near_least from documents""",
+        "p4_balance": """
+            select workload_id, count(*) as examples, true as train, true as validation, true as test, 0 as torn_sources
+            from (select example_id, min(workload_id) as workload_id from suite where example_id is not null group by 1) group by 1 having count(*) >= 200""",
         "p3_daily_percentiles": f"""
             with m as ({_MEASURED.replace("workload_id, ", "workload_id, scored_at, ")}),
             d as (select workload_id, metric, value, strftime(cast(scored_at as date), '%Y-%m-%d') as day from m),
