@@ -2,111 +2,141 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import distributions as ds
 from ..storage import Scratch
 from . import metrics
 
 GROUP = ["workload_id", "primitive"]
-#: Points at which a pass evaluates each group's interval.
-POINTS = 9
-
 
-def mean_nll(points: DataFrame, at: DataFrame, groups: list[str], names: list[str]) -> pd.DataFrame:
-    """Mean NLL of ``points(z, target)`` at each temperature column of ``at``; ``at`` has one row per group and is
-    broadcast only by its size."""
-    rows = points.join(at, groups).withColumn("top", F.array_max("z")).withColumn("mine", F.element_at("z", F.col("target")))
 
-    def cost(c: str):  # log-sum-exp: one pass over the logits per temperature
-        norm = F.ln(F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("top")) / F.col(c))))
-        return F.avg(F.least(norm - (F.col("mine") - F.col("top")) / F.col(c), F.lit(-math.log(ds.LEAST)))).alias(c)
+def mean_nll(points: DataFrame, at: DataFrame, groups: list[str]) -> DataFrame:
+    """``at`` with ``nll``: the mean NLL of each group's ``points(z, target)`` at its ``temperature`` and, where ``at`` has it, ``bias``."""
+    bias = F.col("bias") if "bias" in at.columns else None
+    rows = points.join(at, groups).withColumn("p", ds.softmax(F.col("z"), F.col("temperature"), bias))
+    nll = F.avg(-F.ln(F.greatest(F.element_at("p", F.col("target")), F.lit(ds.LEAST))))
+    return at.join(rows.groupBy(*groups).agg(nll.alias("nll")), groups)
 
-    return rows.groupBy(*groups).agg(*(cost(c) for c in names)).toPandas()
 
-
-def fit_temperature(points: DataFrame, groups: list[str] = GROUP, low: float = 0.05, high: float = 10.0, tolerance: float = 1e-4) -> DataFrame:
+def fit_temperature(points: DataFrame, groups: list[str] = GROUP, low: float = 0.05, high: float = 10.0, tolerance: float = 1e-6, max_passes: int = 60) -> DataFrame:
     """``(*groups, temperature, nll)``: the least mean NLL (F1), clamped to [0.1, 10] and rounded to 4 places.
 
-    NLL has one minimum in T. Every pass evaluates ``POINTS`` temperatures of every group's interval in one aggregation
-    and keeps the neighbours of the best, so about eight passes do for all groups. The state is two numbers a group.
+    NLL is convex in 1 / T. A pass gives slope and curvature of every group at its 1 / T in one aggregation, in the JVM; the
+    slope's sign narrows the group's bracket, and a Newton step inside it, or else its middle, comes next. The driver holds
+    four numbers a group.
     """
     spark = points.sparkSession
     points = Scratch(spark, "temperature").save(points.select(*groups, "z", "target"), "points")
     state = points.select(*groups).distinct().toPandas()
     if not len(state):
         return spark.createDataFrame([], points.select(*groups).schema.add("temperature", "double").add("nll", "double"))
-    state["a"], state["b"] = low, high
-    names = [f"t{i}" for i in range(POINTS)]
-    while (state.b - state.a).max() > tolerance:
-        grid = np.linspace(state.a, state.b, POINTS + 2, axis=1)
-        asked = state[groups].assign(**{c: grid[:, i + 1] for i, c in enumerate(names)})
-        found = mean_nll(points, spark.createDataFrame(asked), groups, names)
-        both = asked.assign(_row=range(len(asked))).merge(found, on=groups, suffixes=("", "_nll")).sort_values("_row")
-        best = both[[f"{c}_nll" for c in names]].to_numpy().argmin(1)
-        grid = grid[both._row.to_numpy()]
-        rows = np.arange(len(both))
-        state = both[groups].assign(a=grid[rows, best], b=grid[rows, best + 2])
-    state["temperature"] = ((state.a + state.b) / 2).clip(0.1, 10).round(4)
-    found = mean_nll(points, spark.createDataFrame(state[[*groups, "temperature"]]), groups, ["temperature"])
-    return spark.createDataFrame(state[[*groups, "temperature"]].merge(found.rename(columns={"temperature": "nll"}), on=groups))
-
-
-def _vector_fit(z: np.ndarray, target: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, float]:
-    """Minimise mean NLL of softmax(z / T + b) over (1 / T, b), which is convex: damped Newton steps."""
-    n, k = z.shape
-    hot = np.eye(k)[target]
-    x = np.concatenate([[1.0], np.zeros(k)])
-
-    def loss(x):
-        s = z * x[0] + x[1:]
-        top = s.max(1, keepdims=True)
-        logs = s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
-        return -logs[np.arange(n), target].mean(), np.exp(logs)
-
-    value, p = loss(x)
-    for _ in range(rounds):
-        g = p - hot
-        grad = np.concatenate([[(g * z).sum(1).mean()], g.mean(0)])
-        m = np.concatenate([(p * z)[:, :, None].sum(1), p], axis=1)  # E[z], p per row
-        hess = np.zeros((k + 1, k + 1))
-        hess[0, 0] = ((p * z * z).sum(1) - (p * z).sum(1) ** 2).mean()
-        hess[0, 1:] = hess[1:, 0] = (p * z).mean(0) - (p * m[:, :1]).mean(0)
-        hess[1:, 1:] = np.diag(p.mean(0)) - p.T @ p / n
-        step = np.linalg.solve(hess + 1e-9 * np.eye(k + 1), grad)
-        t = 1.0
-        while t > 1e-8:
-            y = x - t * step
-            if y[0] > 1e-3 and (new := loss(y))[0] <= value:
-                break
-            t /= 2
-        else:
+    state = state.assign(a=1 / high, b=1 / low, at=1.0, open=True)
+    mean = lambda x: ds.total(F.zip_with("p", x, lambda p, v: p * v))
+    for k in range(max_passes):
+        live = state[state.open]
+        if not len(live):
             break
-        done, x, (value, p) = value - new[0] < 1e-12, y, new
-        if done:
+        rows = points.join(spark.createDataFrame(live[[*groups, "at"]]), groups).withColumn("p", ds.softmax(F.col("z"), 1 / F.col("at")))
+        rows = rows.select(*groups, "target", "z", mean("z").alias("m"), mean(F.transform("z", lambda v: v * v)).alias("m2"))
+        found = rows.groupBy(*groups).agg(F.avg(F.col("m") - F.element_at("z", F.col("target"))).alias("slope"), F.avg(F.col("m2") - F.col("m") * F.col("m")).alias("curve"))
+        live = live.assign(_row=live.index).merge(found.toPandas(), on=groups).set_index("_row")
+        a, b = np.where(live.slope < 0, live["at"], live.a), np.where(live.slope > 0, live["at"], live.b)
+        step = live["at"] - live.slope / live.curve.where(live.curve > 0, np.nan)
+        inside = (step > a) & (step < b)
+        # at an end of the range to which the slope still points, the end is the answer
+        new = np.where(inside, step, np.where((step >= b) & (b == 1 / low), b, np.where((step <= a) & (a == 1 / high), a, (a + b) / 2)))
+        far = np.abs(new - live["at"]) > 0.05 * live["at"]
+        if k == 4:  # those still far off may have no minimum inside: look at the end
+            new = np.where(far & (live.slope < 0) & (b == 1 / low), b, np.where(far & (live.slope > 0) & (a == 1 / high), a, new))
+        new = np.where(live.slope == 0, live["at"], new)
+        done = (np.abs(new - live["at"]) <= tolerance * live["at"]) | (b - a <= tolerance * b)
+        state.loc[live.index, ["a", "b", "at"]] = np.stack([a, b, new], axis=1)
+        state.loc[live.index, "open"] = ~done
+    state["temperature"] = (1 / state["at"]).clip(0.1, 10).round(4)
+    return mean_nll(points, spark.createDataFrame(state[[*groups, "temperature"]]), groups).select(*groups, "temperature", "nll")
+
+
+def _partial_sums(batches):
+    """Count, loss, gradient and Hessian of softmax(x0 z + b) at each group's parameters, summed: one row a group and batch."""
+    for pdf in batches:
+        if len(pdf):
+            for at, rows in pdf.groupby("_at", sort=False):
+                z, x = np.stack(rows["z"].to_numpy()), np.asarray(rows["x"].iloc[0], float)
+                target = rows["target"].to_numpy() - 1
+                s = z * x[0] + x[1:]
+                top = s.max(1, keepdims=True)
+                logs = s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
+                p = np.exp(logs)
+                g = p.copy()
+                g[np.arange(len(z)), target] -= 1
+                m = (p * z).sum(1, keepdims=True)
+                k = z.shape[1]
+                hess = np.empty((k + 1, k + 1))
+                hess[0, 0] = ((p * z * z).sum(1) - m[:, 0] ** 2).sum()
+                hess[0, 1:] = hess[1:, 0] = (p * (z - m)).sum(0)
+                hess[1:, 1:] = np.diag(p.sum(0)) - p.T @ p
+                grad = np.concatenate([[(g * z).sum()], g.sum(0)])
+                values = np.concatenate([[len(z), -logs[np.arange(len(z)), target].sum()], grad, hess.ravel()])
+                yield pd.DataFrame({"at": [at], "sums": [values.tolist()]})
+
+
+def fit_vector(points: DataFrame, groups: list[str] = GROUP, max_passes: int = 60) -> DataFrame:
+    """``(*groups, options, temperature, bias, nll)``: vector scaling (F2) per group and number of options, biases centred.
+
+    The mean NLL of softmax(z / T + b) is convex in (1 / T, b). Gradient and Hessian are sums over rows: each damped Newton step
+    of all groups is one aggregation of partial sums, and no group's rows come together. The driver holds the parameters of the
+    groups and their sums, of size options squared.
+    """
+    spark, keys = points.sparkSession, [*groups, "options"]
+    scratch = Scratch(spark, "vector")
+    rows = scratch.save(points.withColumn("options", F.size("z")).select(*keys, "z", "target"), "points")
+    kinds = rows.select(*keys).schema
+    with_ = lambda ddl: StructType([*kinds.fields, *StructType.fromDDL(ddl).fields])
+    names = rows.select(*keys).distinct().collect()
+    if not names:
+        return spark.createDataFrame([], with_("temperature double, bias array<double>, nll double"))
+    state = {i: {"x": np.concatenate([[1.0], np.zeros(r.options)]), "value": np.inf, "damp": 1.0, "step": None} for i, r in enumerate(names)}
+    live = set(state)
+    schema = "at int, sums array<double>"
+    for _ in range(max_passes):
+        if not live:
             break
-    t = float(np.clip(1 / x[0], 0.05, 10))
-    return t, np.round(x[1:] - x[1:].mean(), 6), float(value)
-
-
-def fit_vector(points: DataFrame, groups: list[str] = GROUP) -> DataFrame:
-    """``(*groups, options, temperature, bias, nll)``: vector scaling (F2) per group and number of options, biases
-    centred. One group's logits must fit one task: a calibration split is a bounded set."""
-    keys = [*groups, "options"]
-    rows = points.withColumn("options", F.size("z")).select(*keys, "z", "target")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, b, nll = _vector_fit(np.stack(pdf.z.to_list()), pdf.target.to_numpy() - 1)
-        return pdf[keys].head(1).assign(temperature=t, bias=[b.tolist()], nll=nll)
-
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", temperature double, bias array<double>, nll double"
-    return rows.groupBy(*keys).applyInPandas(fit, schema)
+        at = spark.createDataFrame([(*names[i], i, _tried(state[i]).tolist()) for i in sorted(live)], with_("_at int, x array<double>"))
+        part = rows.join(at, keys).select("_at", "x", "z", "target").mapInPandas(_partial_sums, schema)
+        add = part.select("at", F.posexplode("sums").alias("i", "v")).groupBy("at", "i").agg(F.sum("v").alias("v"))
+        for r in add.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).collect():
+            if _newton(state[r["at"]], np.array([c["v"] for c in r.s])):
+                live.discard(r["at"])
+    fitted = []
+    for i, s in state.items():
+        x = s["x"]
+        fitted.append((*names[i], float(np.clip(1 / x[0], 0.05, 10)), np.round(x[1:] - x[1:].mean(), 6).tolist(), float(s["value"])))
+    return spark.createDataFrame(fitted, with_("temperature double, bias array<double>, nll double"))
+
+
+def _tried(s: dict) -> np.ndarray:
+    return s["x"] if s["step"] is None else s["x"] - s["damp"] * s["step"]
+
+
+def _newton(s: dict, sums: np.ndarray) -> bool:
+    """Takes the sums at the parameters tried into a group's state; whether it is done."""
+    n, loss, k = sums[0], sums[1] / sums[0], len(s["x"])
+    if s["step"] is not None and not loss <= s["value"]:  # too far: half the step
+        s["damp"] /= 2
+        return s["damp"] < 1e-8
+    done = s["value"] - loss < 1e-12
+    s["x"], s["value"], s["damp"] = _tried(s), loss, 1.0
+    grad, hess = sums[2 : 2 + k] / n, sums[2 + k :].reshape(k, k) / n
+    step = np.linalg.solve(hess + 1e-9 * np.eye(k), grad)
+    while s["x"][0] - s["damp"] * step[0] <= 1e-3 and s["damp"] > 1e-8:
+        s["damp"] /= 2
+    s["step"] = step
+    return done
 
 
 def calibrated(s: DataFrame, groups: list[str] = GROUP) -> tuple[DataFrame, DataFrame]:

@@ -160,12 +160,23 @@ def test_temperature_is_a_minimum(spark):
     fit = calibrate.fit_temperature(s)
     t = fit.toPandas()
     assert len(t) and t.temperature.between(0.1, 10).all()
-    near = spark.createDataFrame(t.assign(lo=(t.temperature - 0.02).clip(0.06), hi=t.temperature + 0.02)[["workload_id", "primitive", "lo", "hi"]])
-    both = t.merge(calibrate.mean_nll(s, near, ["workload_id", "primitive"], ["lo", "hi"]), on=["workload_id", "primitive"])
-    inside = both[(both.temperature > 0.11) & (both.temperature < 9.9)]
-    assert (inside.nll <= inside.lo + 1e-6).all() and (inside.nll <= inside.hi + 1e-6).all()
+    for shift in (-0.02, 0.02):
+        near = spark.createDataFrame(t.assign(temperature=(t.temperature + shift).clip(0.06))[["workload_id", "primitive", "temperature"]])
+        both = t.merge(calibrate.mean_nll(s, near, ["workload_id", "primitive"]).toPandas(), on=["workload_id", "primitive"], suffixes=("", "_near"))
+        inside = both[(both.temperature > 0.11) & (both.temperature < 9.9)]
+        assert len(inside) and (inside.nll <= inside.nll_near + 1e-6).all()
     v = calibrate.fit_vector(s).toPandas()
     assert (v.bias.map(sum).abs() < 1e-4).all() and v.temperature.between(0.05, 10).all()
+    # no parameters near the fitted ones are better
+    keys = ["workload_id", "primitive", "options"]
+    sized = s.withColumn("options", F.size("z"))
+    best = calibrate.mean_nll(sized, spark.createDataFrame(v[[*keys, "temperature", "bias"]]), keys).toPandas()
+    rng = random.Random(3)
+    for _ in range(1):
+        moved = v.assign(temperature=v.temperature * rng.uniform(0.97, 1.03), bias=v.bias.map(lambda b: [x + rng.uniform(-0.02, 0.02) for x in b]))
+        both = best.merge(calibrate.mean_nll(sized, spark.createDataFrame(moved[[*keys, "temperature", "bias"]]), keys).toPandas(), on=keys, suffixes=("", "_moved"))
+        both = both[(both.temperature > 0.051) & (both.temperature < 9.9)]
+        assert (both.nll <= both.nll_moved + 1e-7).all()
 
 
 def test_temperature_golden(spark):
