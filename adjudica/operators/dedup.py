@@ -30,8 +30,9 @@ def similar_pairs(rows: DataFrame, id_col: str, words: Column, least: float = 0.
     together first, so exact copies cost nothing; ``a`` and ``b`` are the least ids of their texts."""
     one = rows.select(F.col(id_col).alias("id"), words.alias("w")).where("w is not null").groupBy(F.xxhash64("w").alias("h"), F.sha2(F.array_join("w", " "), 256).alias("s"))
     one = one.agg(F.min("id").alias("id"), F.first("w").alias("w")).select("id", shingles(F.col("w"), k).alias("g"))
-    one = one.where("size(g) > 0")
-    return verified(met_pairs(one, least), one, least)
+    scratch = Scratch(rows.sparkSession, "similar")
+    one = scratch.save(one.where("size(g) > 0"), "sets")
+    return verified(met_pairs(scratch.save(heads(one, least), "heads"), least), one, least)
 
 
 def common_digests(one: DataFrame, most: int = 10_000, tracked: int = 200_000) -> list[int]:
@@ -40,20 +41,6 @@ def common_digests(one: DataFrame, most: int = 10_000, tracked: int = 200_000) -
     return [x["item"] for x in found.top or [] if x["count"] > 2]
 
 
-def met_pairs(one: DataFrame, least: float) -> DataFrame:
-    """``(a, b)`` of rows ``(id, g)`` whose sizes allow the similarity and that share a digest where the first shared one must
-    stand. Of ``need = ceil(t / (1 + t) (n_a + n_b))`` shared digests the first is at place ``n - need`` or before in both rows,
-    whatever the order: here the most common digests come last, so that few rows meet by them."""
-    common = common_digests(one)
-    last = (lambda x: x.isin(common)) if common else (lambda x: F.lit(False))
-    g = F.concat(F.filter("g", lambda x: ~last(x)), F.filter("g", last)).alias("g")
-    head = one.select("id", F.size("g").alias("n"), g).select("id", "n", F.posexplode(F.slice("g", F.lit(1), F.expr(f"cast(n - ceil({least}D * n - 1e-9D) + 1 as int)"))).alias("p", "t"))
-    head = head.selectExpr("id", "n", "n - p as rest", "t")
-    x, y = head.alias("x"), head.alias("y")
-    on = f"x.t = y.t and x.id < y.id and least(x.rest, y.rest) >= ceil({least}D / (1 + {least}D) * (x.n + y.n) - 1e-9D) and least(x.n, y.n) >= {least}D * greatest(x.n, y.n) - 1e-9D"
-    return x.join(y, F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
 def parities(g: Column, longs: int = 4) -> Column:
     """A bit map of ``64 * longs`` bits of a set of digests, each bit the parity of those that fall on it: two sets differ in at
     least as many members as their maps in bits."""
@@ -62,15 +49,29 @@ def parities(g: Column, longs: int = 4) -> Column:
     return F.array(*(F.aggregate(part(k), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x))) for k in range(longs)))
 
 
-def not_too_far(met: DataFrame, one: DataFrame, least: float) -> DataFrame:
-    """``(a, b)`` of ``met`` whose bit maps do not show already that they differ in more digests than ``least`` allows: a few
-    bytes a row, so that far fewer of the much larger sets are fetched."""
-    maps = one.select("id", F.size("g").alias("n"), parities(F.col("g")).alias("m"))
-    for s in "ab":
-        met = met.join(maps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}")), s)
+def heads(one: DataFrame, least: float) -> DataFrame:
+    """``(id, n, m, h)`` of rows ``(id, g)``: the number of digests, their bit map, and the first of them by which a similar row
+    must be met, the most common ones last."""
+    common = common_digests(one)
+    last = (lambda x: x.isin(common)) if common else (lambda x: F.lit(False))
+    ordered = F.concat(F.filter("g", lambda x: ~last(x)), F.filter("g", last))
+    h = F.slice(ordered, F.lit(1), F.expr(f"cast(size(g) - ceil({least}D * size(g) - 1e-9D) + 1 as int)"))
+    return one.select("id", F.size("g").alias("n"), parities(F.col("g")).alias("m"), h.alias("h"))
+
+
+def met_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """``(a, b)`` of rows of ``heads`` whose sizes allow the similarity, that share a digest where the first shared one must stand,
+    and whose bit maps do not show already that they differ too much. Of ``need = ceil(t / (1 + t) (n_a + n_b))`` shared digests
+    the first is at place ``n - need`` or before in both rows, whatever the order."""
+    need = f"ceil({least}D / (1 + {least}D) * (%s + %s) - 1e-9D)"
+    head = rows.select("id", "n", F.posexplode("h").alias("p", "t")).selectExpr("id", "n", "n - p as rest", "t")
+    x, y = head.alias("x"), head.alias("y")
+    on = f"x.t = y.t and x.id < y.id and least(x.rest, y.rest) >= {need % ('x.n', 'y.n')} and least(x.n, y.n) >= {least}D * greatest(x.n, y.n) - 1e-9D"
+    met = x.join(y, F.expr(on)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    for s in "ab":  # a few bytes a row, so that far fewer of the much larger sets are fetched
+        met = met.join(rows.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("m").alias(f"m_{s}")), s)
     apart = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    need = F.expr(f"ceil({least}D / (1 + {least}D) * (n_a + n_b) - 1e-9D)")
-    return met.where(apart <= F.col("n_a") + F.col("n_b") - 2 * need).select("a", "b")
+    return met.where(apart <= F.col("n_a") + F.col("n_b") - 2 * F.expr(need % ("n_a", "n_b"))).select("a", "b")
 
 
 def verified(met: DataFrame, one: DataFrame, least: float) -> DataFrame:
@@ -90,10 +91,8 @@ def near_duplicates(rows: DataFrame, id_col: str, key: Column, least: float = 0.
     classes = keyed.where("key is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.split(F.first("key"), " ").alias("w"))
     classes = scratch.save(classes, "classes")  # words are split once: an expression inside ``shingles`` would run at every window
     texts = classes.select(F.col("class_id").alias("id"), "w").where(f"size(w) >= {k}")
-    grams = texts.select("id", shingles(F.col("w"), k).alias("g"))
-    met = scratch.save(met_pairs(grams, least), "met")
-    some = texts.join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    met = scratch.save(not_too_far(met, some.select("id", shingles(F.col("w"), k).alias("g")), least), "near")
+    rows = scratch.save(heads(texts.select("id", shingles(F.col("w"), k).alias("g")), least), "heads")
+    met = scratch.save(met_pairs(rows, least), "met")
     ids = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()  # digests are far larger than words: only of texts met
     sets = scratch.save(texts.join(ids, "id", "left_semi").select("id", shingles(F.col("w"), k).alias("g")), "sets")
     pairs = scratch.save(verified(met, sets, least), "pairs")
