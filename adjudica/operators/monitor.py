@@ -90,14 +90,22 @@ def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def top_k_similar(queries: DataFrame, pool: DataFrame, task: str, k: int = 3) -> DataFrame:
-    """The ``k`` pool rows of the query's task with the greatest token-set Jaccard (G4), ties by pool id. Inputs
-    ``(query_id, task, text)`` and ``(pool_id, task, text)``. Overlaps are counted through shared tokens, so pairs that
-    share nothing are never formed; tasks are joined on token and task."""
+    """The ``k`` pool rows of the query's task with the greatest token-set Jaccard (G4), ties by pool id; if fewer share a token,
+    rows that share none fill up, and a pool of ``k`` rows or fewer comes out whole in the order of its ids. Inputs
+    ``(query_id, task, text)`` and ``(pool_id, task, text)``. Overlaps are counted through shared tokens; only the first ``2 k``
+    rows of a task can be needed to fill up."""
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
     q = queries.select("query_id", task, tokens("text").alias("w")).withColumn("qn", F.size("w"))
     p = pool.select("pool_id", task, tokens("text").alias("w")).withColumn("pn", F.size("w"))
     q, p = q.select("query_id", task, "qn", F.explode("w").alias("t")), p.select("pool_id", task, "pn", F.explode("w").alias("t"))
     both = q.join(p, [task, "t"]).groupBy("query_id", "pool_id", "qn", "pn").agg(F.count(F.lit(1)).alias("o"))
     both = both.withColumn("similarity", F.col("o") / (F.col("qn") + F.col("pn") - F.col("o")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pool_id"))
+    first = F.row_number().over(Window.partitionBy(task).orderBy("pool_id"))
+    heads = pool.select("pool_id", task).withColumn("_i", first).where(F.col("_i") <= 2 * k)
+    fill = queries.select("query_id", task).join(heads, task).select("query_id", "pool_id").join(both.select("query_id", "pool_id"), ["query_id", "pool_id"], "left_anti")
+    both = both.select("query_id", "pool_id", "similarity").unionByName(fill.withColumn("similarity", F.lit(0.0)))
+    small = pool.groupBy(task).agg((F.count(F.lit(1)) <= k).alias("_small"))
+    both = both.join(queries.select("query_id", task).join(small, task).select("query_id", "_small"), "query_id")
+    order = F.when(F.col("_small"), F.lit(0.0)).otherwise(-F.col("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "pool_id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "pool_id", "rank", "similarity")

@@ -806,9 +806,10 @@ def g03_hash_sample(spark, sf_dir):
 
 
 @query("""with w as (select item_id, workload_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')) as w from heldout_items where text is not null),
-          t as (select item_id, workload_id, len(w) as n, unnest(w) as t from w),
-          o as (select q.item_id as query_id, p.item_id as pool_id, count(*) / (max(q.n) + max(p.n) - count(*)) as s from t q join t p using (workload_id, t) where q.item_id <> p.item_id group by all)
-          select query_id, pool_id, cast(row_number() over (partition by query_id order by s desc, pool_id) as integer) as rank, round(s, 6) as similarity from o qualify rank <= 3""")
+          o as (select q.item_id as query_id, p.item_id as pool_id, len(list_intersect(q.w, p.w)) as o, len(q.w) + len(p.w) as u, count(*) over (partition by q.item_id) as n from w q join w p using (workload_id)),
+          s as (select *, case when o = 0 then 0 else o / (u - o) end as s from o),
+          r as (select *, row_number() over (partition by query_id order by case when n <= 4 then 0 else -s end, pool_id) as k from s qualify k <= 4)
+          select query_id, pool_id, cast(row_number() over (partition by query_id order by k) as integer) as rank, round(s, 6) as similarity from r where query_id <> pool_id qualify rank <= 3""")
 def g04_exemplar_topk(spark, sf_dir):
     items = table(spark, sf_dir, "heldout_items").where("text is not null")
     q, p = items.select(F.col("item_id").alias("query_id"), "workload_id", "text"), items.select(F.col("item_id").alias("pool_id"), "workload_id", "text")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as ds
 from ..functions import text as tx
 from ..operators import calibrate, compare, dedup, logits, metrics, report, selective
+from ..sources import files
 from ..storage import Scratch
 from .catalog import _ARMS, _COMPONENTS, _LABELS, G, KEY, query, rounded
 from .tables import D, O, decisions, profiles, second_arm, table
@@ -156,6 +157,38 @@ def d11_lookup_misses(spark, sf_dir):
     return out.groupBy(F.coalesce("profile_id", F.lit("no profile")).alias("profile")).agg(F.count(F.lit(1)).alias("examples"))
 
 
+@query(f"""with {D} select workload_id, count(*) as n, count(reference) as referenced from d group by 1""")
+def a03_predictions_from_files(spark, sf_dir):
+    """Predictions written as JSON lines to the shared folder, read back through the scan with its key check."""
+    d = decisions(spark, sf_dir, "workload_id", "primitive", "reference", "prediction")
+    path = f"{Scratch(spark, 'files').root}/predictions.jsonl"
+    files.append_predictions(d, path)
+    rows = files.read_jsonl(spark, path, "prediction", KEY)
+    return rows.groupBy("workload_id").agg(F.count(F.lit(1)).alias("n"), F.count("reference").alias("referenced"))
+
+
+@query("""with r as (select case when split is null then 'no_split' when text is null or trim(text) = '' then 'no_text' when workload_id not in (select workload_id from calibration_profile) then 'workload' end as reason from heldout_items)
+          select coalesce(reason, 'kept') as reason, count(*) as n from r group by 1""")
+def a05_exclusions_from_csv(spark, sf_dir):
+    """Held-out items written as CSV, read back, and filtered with the reasons counted."""
+    path = f"{Scratch(spark, 'files').root}/items"
+    table(spark, sf_dir, "heldout_items").select(*(F.col(c).cast("string") for c in ("item_id", "workload_id", "split", "lang", "text"))).write.option("header", True).option(
+        "escape", '"').option("emptyValue", "").option("nullValue", "\\N").csv(path)
+    rows = files.read_table(spark, path, ["item_id", "workload_id", "split", "text"])
+    rows = rows.select(*(F.when(F.col(c) != "\\N", F.col(c)).alias(c) for c in rows.columns))
+    known = [r[0] for r in profiles(spark, sf_dir).select("workload_id").distinct().collect()]  # a fixed registry
+    kept, counts = files.with_exclusions(rows, {"no_split": F.col("split").isNull(), "no_text": F.coalesce(F.trim("text"), F.lit("")) == "", "workload": ~F.col("workload_id").isin(known)})
+    return counts.unionByName(kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("reason"), "n"))
+
+
+@query("""select profile_id, workload_id, primitive, round(temperature, 6) as temperature, policy.threshold as threshold, metrics.sample_count as sample_count from calibration_profile""")
+def a12_profiles_from_files(spark, sf_dir):
+    """Profiles written as one JSON file each and read back."""
+    path = f"{Scratch(spark, 'files').root}/profiles"
+    profiles(spark, sf_dir).repartition(48, "profile_id").write.option("maxRecordsPerFile", 1).json(path)
+    return rounded(files.read_profiles(spark, path).select("profile_id", "workload_id", "primitive", "temperature", "policy.threshold", "metrics.sample_count"), "temperature")
+
+
 # ---- metrics and comparison -----------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import schema
@@ -61,8 +61,8 @@ def read_table(spark: SparkSession, path: str, columns: list[str], sep: str = ",
 
 
 def read_zipped_table(spark: SparkSession, path: str, member: str, columns: list[str], sep: str = "\t") -> DataFrame:
-    """One delimited member of a zip archive (A6, A7). An archive is one unit of work, so it is unpacked in one task and
-    its rows are spread from there."""
+    """One delimited member of a zip archive (A6, A7). An archive is one unit of work, so it is unpacked in one task; a shuffle
+    spreads its rows from there."""
     ddl = ", ".join(f"`{c}` string" for c in columns)
 
     def rows(batches):
@@ -79,7 +79,34 @@ def read_zipped_table(spark: SparkSession, path: str, member: str, columns: list
                             part = []
                     yield pd.DataFrame(part, columns=columns)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ddl)
+    unpacked = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ddl)
+    return unpacked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_exclusions(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``(kept, counts(reason, n))`` (A5, A7, E35): a row is left out for the first rule that holds; a rule that is null does not."""
+    reason = F.coalesce(*(F.when(rule, name) for name, rule in rules.items()))
+    marked = rows.withColumn("_reason", reason)
+    counts = marked.where("_reason is not null").groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return marked.where("_reason is null").drop("_reason"), counts
+
+
+def with_context(rows: DataFrame, contexts: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the ``column`` that ``contexts(key, column)`` has for their key, and the counts of those left out for want of
+    one (A7, D11). A key that contexts holds twice raises ValueError."""
+    joined = rows.join(unique(contexts.select(key, column), [key]), key, "left")
+    return with_exclusions(joined, {"missing_context": F.col(column).isNull()})
+
+
+def import_heldout(rows: DataFrame, text: str, label: str, known: Column, keep: list[str], other: list[str], least: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Held-out rows whose labels are mapped (A17, B27): those of ``keep`` stay, those of ``other`` become ``other``, the rest are
+    excluded, as are rows that ``known`` finds in the training texts and rows without a text. Fewer than ``least`` left raise
+    ValueError."""
+    mapped = rows.withColumn(label, F.when(F.col(label).isin(keep), F.col(label)).when(F.col(label).isin(other), "other"))
+    kept, counts = with_exclusions(mapped, {"no_text": F.coalesce(F.col(text), F.lit("")) == "", "label": F.col(label).isNull(), "overlap": known})
+    if (n := kept.count()) < least:
+        raise ValueError(f"{n} held-out rows, {least} needed")
+    return kept, counts
 
 
 def read_rubric_docx(path: str, levels: int = 6) -> list[str]:
@@ -116,22 +143,25 @@ def manifest_problems(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Calibration profiles from ``*.json`` in name order (A12); invalid files are skipped, the last of an id wins."""
-    found = {}
-    for p in sorted(Path(folder).glob("*.json")):
-        try:
-            x = json.loads(p.read_text("utf-8"))
-            found[x["profile_id"]] = (x["profile_id"], x["workload_id"], x["primitive"], float(x["temperature"]), x.get("bias"))
-        except (ValueError, KeyError, TypeError):
-            continue
-    return spark.createDataFrame(list(found.values()), "profile_id string, workload_id string, primitive string, temperature double, bias array<double>")
+    """Calibration profiles from ``*.json`` (A12), read in parallel. A file that is no JSON, or without an id, workload or
+    primitive or with a temperature that is not positive and finite, is skipped; of one id the last file by name wins."""
+    kind = schema("profile")
+    rows = spark.read.schema(kind.add("_bad", "string")).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.json").json(folder)
+    rows = rows.withColumn("_name", F.col("_metadata.file_path")).where("_bad is null and profile_id is not null and workload_id is not null and primitive is not null")
+    rows = rows.withColumn("temperature", F.coalesce("temperature", F.lit(1.0))).where("temperature > 0 and temperature < double('infinity')").drop("_bad")
+    fields = [c for c in rows.columns if c != "_name"]
+    return rows.groupBy("profile_id").agg(F.max_by(F.struct(*(c for c in fields if c != "profile_id")), "_name").alias("x")).select("profile_id", "x.*")
 
 
 def read_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Regression requests (A13): every JSON file but the manifest, with its name; a request has two questions or more."""
+    """Regression requests (A13): every JSON file but the manifest, with its name. A request of fewer than two questions raises
+    ValueError, as it would never reach the path that is compared."""
     rows = spark.read.schema(schema("request")).option("multiLine", True).json(folder)
     rows = rows.withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).where("name <> 'manifest.json'")
-    return rows.where(F.size("questions") >= 2)
+    few = rows.where("coalesce(size(questions), 0) < 2").select("name").take(1)
+    if few:
+        raise ValueError(f"{few[0].name}: a regression request has two questions or more")
+    return rows
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,6 +185,11 @@ def append_predictions(rows: DataFrame, path: str, done: DataFrame | None = None
     (rows if done is None else rows.join(done.select(*keys), keys, "left_anti")).write.mode("append").json(path)
 
 
+def read_cache(spark: SparkSession, path: str, kind: str = "prediction") -> DataFrame:
+    """What an earlier run appended (A22): lines cut off or otherwise malformed are skipped, to be done again."""
+    return spark.read.schema(schema(kind)).option("mode", "DROPMALFORMED").json(path).where("example_id is not null and question_id is not null")
+
+
 def write_report(report: dict, path: str, skip: tuple[str, ...] = ("created_at",)) -> str:
     """Sorted JSON with its own hash, which leaves out times (A19). Returns the hash."""
     body = json.dumps({k: v for k, v in report.items() if k not in skip}, sort_keys=True, separators=(",", ":"))

@@ -20,6 +20,13 @@ DDL = {
         " evaluation_split string"
     ),
     "prediction": f"example_id string, question_id string, workload_id string, primitive string, reference string, prediction string, answer {ANSWER}, request_total_ms double, inference_ms double",
+    "profile": (
+        "schema_version int, profile_id string, workload_id string, primitive string, artifact_id string, model_id string, revision string, precision string,"
+        " prompt_version string, label_version string, card_min int, card_max int, method string, temperature double, bias array<double>,"
+        " policy struct<type:string,threshold:double,metric:string,max_order_discrepancy:double>, dataset_sha256 string, split string, fitted_at string,"
+        " metrics struct<brier_score:double,ece:double,coverage:double,accepted_error_rate:double,sample_count:int,accepted_count:int,errors_in_accepted:int,"
+        "gate_ece_passed:boolean,gate_brier_passed:boolean,gate_selective_passed:boolean,samples_sufficient_for_gate:boolean,prevalence_brier_score:double,accepted_error_95_upper_bound:double>"
+    ),
     "request": f"state string, questions map<string,{QUESTION}>, profile string, order_debias_passes int",
     "exemplar": "task_id string, state string, selected_id string, reasoning string",
     "probe": "task_id string, category string, state string, instructions string, ground_truth string, decision_tree string, candidates array<struct<id:string,description:string>>, exemplars_8shot array<struct<state:string,selected:string>>",

@@ -498,3 +498,38 @@ def test_label_mass_gate(spark):
     assert (got["g"].n, got["g"].missing, got["g"].below, got["g"].gate_passed) == (2, 1, 1, False) and got["h"].gate_passed
     with pytest.raises(Exception, match="label mass"):
         answers.label_mass_gate(df, "m", ["g"], strict=True).collect()
+
+
+def test_sources_refuse_skip_and_count(spark, tmp_path):
+    for name, x in {
+        "a.json": {"profile_id": "p", "workload_id": "w", "primitive": "boolean", "temperature": 1.5}, "b.json": {"profile_id": "p", "workload_id": "w2", "primitive": "boolean", "temperature": 2},
+        "c.json": {"profile_id": "q", "workload_id": "w", "primitive": "choice", "temperature": -1.0}, "e.json": {"profile_id": "r", "primitive": "choice"},
+    }.items():
+        (tmp_path / "profiles").mkdir(exist_ok=True)
+        (tmp_path / "profiles" / name).write_text(json.dumps(x))
+    (tmp_path / "profiles" / "d.json").write_text('{"profile_id": "cut')
+    got = files.read_profiles(spark, str(tmp_path / "profiles")).collect()
+    assert [(r.profile_id, r.workload_id, r.temperature) for r in got] == [("p", "w2", 2.0)]
+    (tmp_path / "requests").mkdir()
+    (tmp_path / "requests" / "one.json").write_text(json.dumps({"state": "s", "questions": {"a": {"type": "boolean"}}}))
+    with pytest.raises(ValueError, match="one.json"):
+        files.read_requests(spark, str(tmp_path / "requests"))
+    cache = tmp_path / "cache.jsonl"
+    cache.write_text(json.dumps({"example_id": "e", "question_id": "q"}) + '\n{"example_id": "cut\n')
+    assert [r.example_id for r in files.read_cache(spark, str(cache)).collect()] == ["e"]
+    rows = spark.createDataFrame([("t1", "a", "k1"), ("t2", "zz", "k1"), ("t3", "b", "k2"), ("", "a", "k3"), ("t5", "c", "k1"), (None, None, None)], "text string, label string, key string")
+    kept, counts = files.import_heldout(rows, "text", "label", F.col("text") == "t5", ["a", "c"], ["b"], least=2)
+    assert {(r.text, r.label) for r in kept.collect()} == {("t1", "a"), ("t3", "other")} and dict(map(tuple, counts.collect())) == {"label": 1, "no_text": 2, "overlap": 1}
+    with pytest.raises(ValueError, match="needed"):
+        files.import_heldout(rows, "text", "label", F.lit(False), ["a"], [])
+    kept, counts = files.with_context(rows, spark.createDataFrame([("k1", "ctx")], "key string, context string"), "key", "context")
+    assert {r.text for r in kept.collect()} == {"t1", "t2", "t5"} and dict(map(tuple, counts.collect())) == {"missing_context": 3}
+
+
+def test_exemplars_fill_up(spark):
+    pool = spark.createDataFrame([(i, "t", w) for i, w in enumerate(["x y", "", "z", "x", "q", "r"])] + [(9, "small", "b"), (10, "small", "a")], "pool_id int, task string, text string")
+    q = spark.createDataFrame([("a", "t", "x y"), ("b", "t", ""), ("c", "small", "a"), ("d", "none", "a")], "query_id string, task string, text string")
+    got = {}
+    for r in monitor.top_k_similar(q, pool, "task", 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.pool_id)
+    assert got == {"a": [0, 3, 1], "b": [0, 1, 2], "c": [9, 10]}
