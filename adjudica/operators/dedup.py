@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import distributions as ds
 from ..functions import text as tx
 from ..storage import Scratch
 from .components import connected_components
@@ -21,7 +22,9 @@ def shingles(words: Column, k: int = 5) -> Column:
     """Sorted distinct 64-bit hashes of the ``k``-word windows; fewer than ``k`` words have none."""
     n = F.size(words)
     at = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice(words, i, k)))))
+    # each word is hashed once, a window by the hashes of its words
+    windows = ds.let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(at, lambda i: F.xxhash64(F.slice(h, i, k))))
+    return F.array_sort(F.array_distinct(windows))
 
 
 def similar_pairs(rows: DataFrame, id_col: str, words: Column, least: float = 0.9, k: int = 5) -> DataFrame:
